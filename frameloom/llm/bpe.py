@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -376,8 +377,8 @@ def decode_documents(documents: DataFrame, path: str, ids: str = "token_ids", ou
         v = encoder(path).v
         for b in batches:
             lists = b.column(b.schema.get_field_index(ids))
-            count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-            raw = decode(v, np.asarray(pa.compute.list_flatten(lists), np.int64), count)
+            count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            raw = decode(v, np.asarray(pc.list_flatten(lists), np.int64), count)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=schema.names)
 
     return documents.mapInArrow(run, schema)

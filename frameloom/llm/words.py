@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -98,7 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 3 << 19)
     row at least), with the texts as bytes (null: empty)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
