@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, lines, minhash, packing, quality, substrings, urls
+from . import bpe, licenses, lines, lm, minhash, packing, quality, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,10 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_minhash": minhash.op7_minhash,
     "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op9_topk": topk.op9_topk,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 SQL: dict[str, str] = {
     "op2_url_filters": urls.SQL,
     "op3_license_scans": licenses.SQL,
     "op4_quality_rules": quality.SQL,
     "op6_line_dedup": lines.SQL,
+    "op9_topk": topk.SQL,
 }
