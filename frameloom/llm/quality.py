@@ -116,7 +116,9 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
             F.col("text").alias("text"),
         ).alias("stats"),
     )
-    return step.select("row.*", "stats")
+    # a generator, because a later filter on the statistics would else be pushed
+    # through the projections and compute them again for each of its terms
+    return step.select("row.*", F.explode(F.array("stats")).alias("stats"))
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,7 @@ def cascade(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if chain is None else chain
 
 
-def quality_rules(documents: DataFrame, text: str = "text", sample_rows: int = 2000) -> DataFrame:
+def quality_rules(documents: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
     """``documents`` with ``stats``, ``base_failed``, ``rejected_by`` and ``kept``.
 
     The cascade is ordered on the first ``sample_rows`` rows at most; that bound
@@ -181,7 +183,9 @@ def quality_rules(documents: DataFrame, text: str = "text", sample_rows: int = 2
     of any name are kept; ones named like an added column must be renamed first.
     """
     rules = default_rules()
-    few = text_statistics(documents.limit(sample_rows), text).select("stats").cache()
+    # taken partition by partition until there are enough, not from all of them
+    head = documents.sparkSession.createDataFrame(documents.select(F.col(text).alias("text")).limit(sample_rows).toArrow(), "text string")
+    few = text_statistics(head).select("stats").cache()
     try:
         ordered = [r for r, _, _ in order_rules(few, rules)]
     finally:
