@@ -82,25 +82,30 @@ def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def band_keys(short: np.ndarray, p: Near) -> np.ndarray:
+    """A hash for each band of 16-bit minima, which depends on the band's number."""
+    odd = stream(p.rows, 31)
+    wide = short.reshape(len(short), p.bands, p.rows).astype(np.uint64)
+    band = np.zeros(wide.shape[:2], np.uint64)
+    for j in range(p.rows):
+        band += mix(wide[:, :, j] + odd[j]) * odd[j]
+    return mix(band + stream(p.bands, 32)).view(np.int64)
+
+
 def signed(documents: DataFrame, p: Near) -> DataFrame:
     """(doc_id, n_shingles, node, sig, keys) of ``documents`` (doc_id, text): node
     is the digest of the shingle set, sig has 16 bits of each minimum, keys one
     hash per band. Null where the set is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = stream(p.rows, 31)
         for part, texts in slices(batches, "text"):
             sets = shingle_sets(texts, p.shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             node, sig, keys = ([None] * len(sets) for _ in range(3))
             if full:
                 m = signatures([sets[i] for i in full], p.minima)
-                short = (m >> np.uint32(16)).astype(np.uint16)
-                band = np.zeros((len(full), p.bands), np.uint64)
-                wide = m.reshape(len(full), p.bands, p.rows).astype(np.uint64)
-                for j in range(p.rows):
-                    band += mix(wide[:, :, j] + odd[j]) * odd[j]
-                band = mix(band + stream(p.bands, 32)).view(np.int64)
+                short = m.astype(np.uint16)  # the low bits, which are all used
+                band = band_keys(short, p)
                 for k, i in enumerate(full):
                     node[i], sig[i], keys[i] = digest(sets[i]), short[k].tobytes(), band[k]
             size = pa.array([len(s) for s in sets], pa.int64())
@@ -120,8 +125,9 @@ def _compare(members: DataFrame, p: Near, across: bool) -> DataFrame:
     """
     least = -(-p.margin * p.minima // 100)
 
-    def pairs(side, node, sig, comp):
+    def pairs(key, side, node, sig, comp):
         m = np.frombuffer(b"".join(sig), np.uint16).reshape(len(sig), -1)
+        band = int((band_keys(m[:1], p)[0] == key).argmax())
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         for at in range(0, len(first), 64):
             rows = first[at : at + 64]
@@ -133,11 +139,15 @@ def _compare(members: DataFrame, p: Near, across: bool) -> DataFrame:
             if across:
                 ok &= comp[rows][:, None] != comp[second][None, :]
             i, j = np.nonzero(ok)
+            if across and len(i):  # a pair counts in the first band that it shares
+                shared = (m[rows[i]] == m[second[j]]).reshape(len(i), p.bands, p.rows).all(2)
+                once = shared.argmax(1) == band
+                i, j = i[once], j[once]
             yield rows[i], second[j], same[i, j]
 
-    def emit(group):
+    def emit(key, group):
         side, node, sig, comp = (np.array(x, dtype=object if k in (1, 2, 3) else None) for k, x in enumerate(group))
-        found = list(pairs(side, node, sig.tolist(), comp))
+        found = list(pairs(key, side, node, sig.tolist(), comp))
         i, j, s = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(3))
         if not len(i):
             return []
@@ -158,7 +168,7 @@ def _compare(members: DataFrame, p: Near, across: bool) -> DataFrame:
 
         def flush():
             if len(group[0]) > 1:
-                out.extend(emit(group))
+                out.extend(emit(now[0], group))
             for g in group:
                 g.clear()
 
