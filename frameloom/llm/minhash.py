@@ -93,26 +93,38 @@ def band_keys(short: np.ndarray, p: Near) -> np.ndarray:
 
 
 def signed(documents: DataFrame, p: Near) -> DataFrame:
-    """(doc_id, n_shingles, node, sig, keys) of ``documents`` (doc_id, text): node
-    is the digest of the shingle set, sig has 16 bits of each minimum, keys one
-    hash per band. Null where the set is empty."""
+    """(doc_id, n_shingles, node, sig) of ``documents`` (doc_id, text): node is the
+    digest of the shingle set, sig has 16 bits of each minimum; null where the set
+    is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             sets = shingle_sets(texts, p.shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
-            node, sig, keys = ([None] * len(sets) for _ in range(3))
+            node, sig = ([None] * len(sets) for _ in range(2))
             if full:
                 m = signatures([sets[i] for i in full], p.minima)
                 short = m.astype(np.uint16)  # the low bits, which are all used
-                band = band_keys(short, p)
                 for k, i in enumerate(full):
-                    node[i], sig[i], keys[i] = digest(sets[i]), short[k].tobytes(), band[k]
+                    node[i], sig[i] = digest(sets[i]), short[k].tobytes()
             size = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "node", "sig"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, sig binary, keys array<long>")
+    return documents.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, sig binary")
+
+
+def banded(classes: DataFrame, p: Near) -> DataFrame:
+    """(key, node): one row per band of each class (node, sig)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, -1), p)
+                at = pa.array(np.repeat(np.arange(b.num_rows), p.bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column(0).take(at)], names=["key", "node"])
+
+    return classes.select("node", "sig").mapInArrow(run, "key long, node binary")
 
 
 def _compare(members: DataFrame, p: Near, across: bool) -> DataFrame:
@@ -255,8 +267,8 @@ def near_duplicates(documents: DataFrame, p: Near = Near(), doc_id: str = "doc_i
     s = materialize(signed(docs, p), "minhash-signed")
     full = s.filter("node IS NOT NULL")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    firsts = materialize(full.join(classes.filter("rep IS NOT NULL"), "node").filter("doc_id = rep").select("node", "rep", "sig", "keys").dropDuplicates(["node"]), "minhash-classes")
-    spread = firsts.select(F.explode("keys").alias("key"), "node")
+    firsts = materialize(full.join(classes.filter("rep IS NOT NULL"), "node").filter("doc_id = rep").select("node", "rep", "sig").dropDuplicates(["node"]), "minhash-classes")
+    spread = banded(firsts, p)
     sizes = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(spread.join(sizes, "key"), "minhash-members")
     used = members.select("node").distinct()
