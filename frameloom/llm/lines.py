@@ -12,13 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .storage import materialize
-from .words import grams, mix
+from .words import SPACE, grams, mix
 
 RUN, GRAM = 3, 2
 
@@ -123,15 +125,11 @@ def dedup_lines(documents: DataFrame, run: int = RUN, gram: int = GRAM, doc_id:
     joined = joined.select("row", "text", lines.alias("lines"), F.sort_array(numbers).alias("out"))
     total = F.coalesce(F.size(F.filter("lines", worded)), F.lit(0)).cast("long").alias("n_lines")
     removed = F.when(F.col("out").isNull(), F.lit(0)).otherwise(F.size("out")).cast("long").alias("n_removed")
-    return joined.select("row.*", F.when(F.col("text").isNull(), F.lit(0)).otherwise(total).alias("n_lines"), removed, F.when(F.col("out").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("out"))).alias("kept_text"))
+    without = F.pandas_udf(_without, StringType())
+    return joined.select("row.*", F.when(F.col("text").isNull(), F.lit(0)).otherwise(total).alias("n_lines"), removed, F.when(F.col("out").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("out"))).alias("kept_text"))
 
 
-@F.pandas_udf("string")
-def _without(texts, outs):
-    import pandas as pd
-
-    from .words import SPACE
-
+def _without(texts: pd.Series, outs: pd.Series) -> pd.Series:
     blank = bytes(np.flatnonzero(SPACE).tolist())
 
     def one(text, out):
