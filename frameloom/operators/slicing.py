@@ -49,7 +49,15 @@ def clip_of(frame: Column, size: int) -> Column:
 
 # header predicates
 
-TRUE, FALSE = F.lit(True), F.lit(False)
+
+
+def always() -> Column:
+    return F.lit(True)
+
+
+def never() -> Column:
+    return F.lit(False)
+
 
 
 def has_label(label: str, labels: Column) -> Column:

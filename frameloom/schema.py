@@ -21,11 +21,12 @@ FRAMES = T.StructType(
 )
 DETECTIONS = T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("frame", T.LongType()), T.StructField("idx", T.IntegerType()), *LABELLED_BOX.fields, T.StructField("score", T.DoubleType())])
 #: end_time is exclusive.
-CLIP = T.StructType.fromDDL(
+CLIP = (
     "clip_id bigint, video_name string, start_time int, end_time int, origin_x int, origin_y int, height int, width int,"
     " video_ref string, is_background boolean, translation array<struct<t:int,x:int,y:int>>, other string"
 )
-LABEL = T.StructType.fromDDL("label string, clip_id bigint, video_name string")
-BACKGROUND = T.StructType.fromDDL("background_id bigint, clip_id bigint, video_name string")
-TRACKS = T.StructType.fromDDL("stream_id string, frame bigint, track_id bigint, x0 int, y0 int, x1 int, y1 int")
+
+LABEL = "label string, clip_id bigint, video_name string"
+BACKGROUND = "background_id bigint, clip_id bigint, video_name string"
+TRACKS = "stream_id string, frame bigint, track_id bigint, x0 int, y0 int, x1 int, y1 int"
 FRAME_RATE = 30.0
