@@ -76,6 +76,8 @@ class SyntheticFrames(DataSource):
         return Reader(self.options)
 
 
-def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def register(spark: SparkSession, pushdown: bool = False) -> None:
+    """Register the source. With ``pushdown`` filters on frame reach the decoder;
+    Spark then keeps them with the loaded relation, so each query must load its own."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", str(pushdown).lower())
     spark.dataSource.register(SyntheticFrames)

@@ -20,8 +20,11 @@ def frames(spark):
 
 
 def test_source_pushes_frame_ranges(spark, frames):
-    got = frames.filter("frame >= 10 AND frame < 15")
-    assert got.count() == 10
+    assert frames.filter("frame >= 10 AND frame < 15").count() == 10
+    register(spark, pushdown=True)
+    own = spark.read.format("frames").option("frames", 30).load()
+    assert own.filter("frame >= 10 AND frame < 15").count() == 5
+    register(spark)
     assert sorted(r.frame for r in spark.read.format("frames").option("rows", "3,7").load().collect()) == [3, 7]
     assert spark.read.format("frames").option("offset", 5).option("limit", 8).load().count() == 3
 
