@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import slices
 
@@ -357,7 +358,7 @@ def decode(v: Vocabulary, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
 
 def encode_documents(documents: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``documents`` with the array column ``ids``; a null text gives no tokens."""
-    schema = documents.schema.add(ids, "array<int>")
+    schema = T.StructType([*documents.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -371,7 +372,7 @@ def encode_documents(documents: DataFrame, path: str, text: str = "text", ids: s
 
 def decode_documents(documents: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``documents`` with the bytes of the array column ``ids`` (null: empty)."""
-    schema = documents.schema.add(out, "binary")
+    schema = T.StructType([*documents.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = encoder(path).v
