@@ -24,7 +24,7 @@ from .storage import materialize, shard_count
 from .words import Words, mix, slices
 
 #: Text of a chunk, codes per unit of log10, weight of the unigrams, parts of a context.
-CHUNK, STEPS, WEIGHT, PARTS = 24 << 20, 2048, 200.0, 16
+CHUNK, STEPS, WEIGHT, PARTS = 8 << 20, 2048, 200.0, 16
 END, START = np.uint64(1), 0
 
 _pack = lambda a: zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).tobytes())
@@ -118,8 +118,9 @@ def _pairs(shards: int, n: int, v: int, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                t = _unpack(r["tokens"], np.uint32).astype(np.int64)
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                t = _unpack(r["tokens"], np.uint32)
                 sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
                 held = np.frombuffer(r["held"], bool)
                 known = sum(len(_unpack(w["local"], np.uint32)) for w in r["words"])
@@ -127,7 +128,7 @@ def _pairs(shards: int, n: int, v: int, schema: pa.Schema):
                 for w in r["words"]:
                     at = _unpack(w["local"], np.uint32)
                     name[at], total[at] = _unpack(w["global"], np.uint64), _unpack(w["totals"], np.uint64)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
+                doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
                 c = total[t]
                 base = np.add.reduceat(np.log10(c + 1.0), np.cumsum(sizes) - sizes) - sizes * np.log10(n + v + 1.0)
                 kept = np.add.reduceat((c > 0).astype(np.int64), np.cumsum(sizes) - sizes)
@@ -161,29 +162,43 @@ def codes(pair_n, context_n, word_n, n: int, v: int) -> np.ndarray:
     return np.minimum(65_535, np.rint(-STEPS * np.log10(p))).astype(np.int64)
 
 
+def _new(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a pair of a sorted list differs from the one before."""
+    return np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+
+
+def _distinct(r: dict) -> tuple[np.ndarray, ...]:
+    """(context, its count, word, its count, training occurrences) of a chunk's distinct bigrams."""
+    c, w = _unpack(r["c"], np.uint32), _unpack(r["w"], np.uint32)
+    train = ~np.frombuffer(r["held"], bool)[_unpack(r["doc"], np.uint32)]
+    head = np.flatnonzero(_new(c, w))
+    c, w = c[head], w[head]
+    n = np.add.reduceat(train.astype(np.int64), head)
+    return _unpack(r["context"], np.int64)[c], _unpack(r["context_n"], np.int64)[c], _unpack(r["word"], np.int64)[w], _unpack(r["word_n"], np.int64)[w], n
+
+
 def _score(n: int, v: int, ids: str):
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         out = [{"chunk": r["chunk"], "plain": r["plain"], "ids": r["ids"], "held": r["held"], "sums": None} for r in rows if r["plain"] is not None]
         rows = [r for r in rows if r["plain"] is None]
-        parts = []
-        for r in rows:
-            c, w, doc = (_unpack(r[k], np.uint32) for k in ("c", "w", "doc"))
-            held = np.frombuffer(r["held"], bool)[doc]
-            parts.append((_unpack(r["context"], np.int64)[c], _unpack(r["context_n"], np.int64)[c], _unpack(r["word"], np.int64)[w], _unpack(r["word_n"], np.int64)[w], ~held))
-        if parts:
-            # counts of the bigrams in training documents, sorted
-            a, an, b, bn, train = (np.concatenate([p[k][p[4]] for p in parts]) for k in range(5))
+        counted = [_distinct(r) for r in rows]  # of one chunk after another
+        if counted:
+            a, an, b, bn, train = (np.concatenate([p[k] for p in counted]) for k in range(5))
+            del counted
+            used = train > 0
+            a, an, b, bn, train = (x[used] for x in (a, an, b, bn, train))
             order = np.lexsort((b, a))
-            a, an, b, bn = a[order], an[order], b[order], bn[order]
-            head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
-            pair_n = np.diff(np.append(head, len(a)))
+            a, an, b, bn, train = (x[order] for x in (a, an, b, bn, train))
+            head = np.flatnonzero(_new(a, b))
+            pair_n = np.add.reduceat(train, head) if len(head) else train
             trie = BigramTrie(a[head], b[head], codes(pair_n, an[head], bn[head], n, v)).memory_mapped()
-            for r, (a, an, b, bn, _) in zip(rows, parts, strict=True):
-                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-                first = np.flatnonzero(new)
-                code = trie.find(a[first], b[first])
-                code = np.where(code >= 0, code, codes(0, an[first], bn[first], n, v))[np.cumsum(new) - 1]
+            for r in rows:
+                a, an, b, bn, _ = _distinct(r)
+                code = trie.find(a, b)
+                code = np.where(code >= 0, code, codes(0, an, bn, n, v))
+                c, w = _unpack(r["c"], np.uint32), _unpack(r["w"], np.uint32)
+                code = code[np.cumsum(_new(c, w)) - 1]
                 sums = np.bincount(_unpack(r["doc"], np.uint32), weights=code, minlength=r["docs"]).astype(np.uint32)
                 out.append({"chunk": r["chunk"], "sums": _pack(sums)})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("plain", pa.binary()), ("ids", pa.list_(_arrow(ids))), ("held", pa.binary()), ("sums", pa.binary())]))
@@ -223,7 +238,7 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     few = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ids = few.schema["doc_id"].dataType.simpleString()
-    shards = shard_count(few)
+    shards = 2 * shard_count(few)
     listed = f"array<{ids}>"
     fields = [(c.split()[0], pa.binary()) for c in CHUNKS.split(", ")]
     schema = pa.schema([(k, {"chunk": pa.string(), "shard": pa.int32(), "ids": pa.list_(_arrow(ids))}.get(k, t)) for k, t in fields])
