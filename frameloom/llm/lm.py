@@ -23,8 +23,8 @@ from .eliasfano import BigramTrie
 from .storage import materialize, shard_count
 from .words import Words, mix, slices
 
-#: Text of a chunk, codes per unit of log10, weight of the unigrams, parts of a context.
-CHUNK, STEPS, WEIGHT, PARTS = 8 << 20, 2048, 200.0, 16
+#: Text of a chunk, codes per unit of log10, weight of the unigrams.
+CHUNK, STEPS, WEIGHT = 12 << 20, 2048, 200.0
 END, START = np.uint64(1), 0
 
 _pack = lambda a: zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).tobytes())
@@ -133,12 +133,16 @@ def _pairs(shards: int, n: int, v: int, schema: pa.Schema):
                 base = np.add.reduceat(np.log10(c + 1.0), np.cumsum(sizes) - sizes) - sizes * np.log10(n + v + 1.0)
                 kept = np.add.reduceat((c > 0).astype(np.int64), np.cumsum(sizes) - sizes)
                 plain = np.stack([sizes.astype(float), kept.astype(float), base]).tobytes()
-                before = np.concatenate([[START], name[t[:-1]]])
-                before_n = np.concatenate([[0], total[t[:-1]]])
-                first = np.cumsum(sizes) - sizes
-                before[first], before_n[first] = START, total[0]  # as many starts as ends
-                after = name[t]
-                shard = (mix((before * PARTS + after % PARTS).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                del c
+                prev = np.append(np.uint32(0), t[:-1])
+                prev[np.cumsum(sizes) - sizes] = 0  # as many starts as ends
+                before, after = name[prev], name[t]
+                before[np.cumsum(sizes) - sizes] = START
+                # a context with a large share of all bigrams has parts, by its words
+                parts = (1 + total * 2 * shards // max(n, 1))[prev]
+                key = before.astype(np.uint64) * np.uint64(1 << 20) + (after % parts).astype(np.uint64)
+                shard = (mix(key) % np.uint64(shards)).astype(np.int32)
+                del parts, key
                 order = np.lexsort((doc, after, before, shard))
                 edge = np.searchsorted(shard[order], np.arange(shards + 1))
                 out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "docs": len(sizes), "plain": plain, "ids": r["ids"], "held": held.tobytes()}]
@@ -148,7 +152,7 @@ def _pairs(shards: int, n: int, v: int, schema: pa.Schema):
                         continue
                     cs, i, ci = np.unique(before[own], return_index=True, return_inverse=True)
                     ws, j, wi = np.unique(after[own], return_index=True, return_inverse=True)
-                    out.append({"shard": s, "chunk": r["chunk"], "docs": len(sizes), "held": r["held"], "context": _pack(cs), "context_n": _pack(before_n[own][i]), "word": _pack(ws), "word_n": _pack(c[own][j]),
+                    out.append({"shard": s, "chunk": r["chunk"], "docs": len(sizes), "held": r["held"], "context": _pack(cs), "context_n": _pack(total[prev[own[i]]]), "word": _pack(ws), "word_n": _pack(total[t[own[j]]]),
                                 "c": _pack(ci.astype(np.uint32)), "w": _pack(wi.astype(np.uint32)), "doc": _pack(doc[own].astype(np.uint32))})
                 yield _rows(schema, out)
 
@@ -238,7 +242,7 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     few = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ids = few.schema["doc_id"].dataType.simpleString()
-    shards = 2 * shard_count(few)
+    shards = shard_count(few)
     listed = f"array<{ids}>"
     fields = [(c.split()[0], pa.binary()) for c in CHUNKS.split(", ")]
     schema = pa.schema([(k, {"chunk": pa.string(), "shard": pa.int32(), "ids": pa.list_(_arrow(ids))}.get(k, t)) for k, t in fields])
