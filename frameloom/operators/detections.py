@@ -331,3 +331,46 @@ def expand_image_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(box rows, image-label rows) of a mixed annotation table."""
     return rows.filter("confidence IS NULL"), rows.filter("x0 IS NULL")
+
+
+def mask_nms(masks: DataFrame, by: list[str], threshold: float, key: str = "det_id", mask: str = "mask") -> DataFrame:
+    """Suppression by mask IoU (arrays of longs), as ``nms`` does by boxes."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        bits = [np.asarray(m, np.int64).view(np.uint64) for m in p[mask]]
+        for i, m in enumerate(bits):
+            for j in kept:
+                both = int(np.bitwise_count(m & bits[j]).sum())
+                union = int(np.bitwise_count(m | bits[j]).sum())
+                if union and both / union > threshold:
+                    break
+            else:
+                kept.append(i)
+        return p.iloc[kept]
+
+    schema = ", ".join(f"{n} {t}" for n, t in masks.dtypes)
+    return fold_groups(masks, by, [F.col("score").desc(), key], schema, run)
+
+
+def evaluate(detections: DataFrame, truth: DataFrame, threshold: float = 0.5, label: str = "label", image: str = "image", key: str = "det_id", weight: float = 1.0) -> DataFrame:
+    """(label, ap, corloc, n_truth) of boxes by class and image; ``mean_ap`` sums up.
+
+    ``truth`` may have ``difficult`` and ``group_of``; ignored detections don't
+    count. Classes without a countable truth have no row.
+    """
+    for c in ("difficult", "group_of"):
+        if c not in truth.columns:
+            truth = truth.withColumn(c, F.lit(False))
+    total = truth_statistics(truth.withColumnRenamed(image, "image"), [label], weight)
+    found = true_positives(detections, truth, [label, image], threshold, key)
+    ranked = found.filter("status <> 'ignored'").select(label, F.concat_ws("/", F.col(image), F.col(key)).alias(key), "score", (F.col("status") == "tp").cast("double").alias("hit"))
+    if weight:
+        extra = group_of_weights(detections, truth, [label, image], threshold, weight)
+        ranked = ranked.unionByName(extra.select(label, F.concat_ws("/", F.lit("group"), F.col(image), F.col("gt_id")).alias(key), "score", F.col("weight").alias("hit")))
+    ap = average_precision(precision_recall(ranked, [label], total.select(label, "n_truth"), key), [label])
+    right = found.filter("status = 'tp'").select(label, image).distinct().withColumn("correct", F.lit(True))
+    images = truth.select(label, image).distinct().join(right, [label, image], "left")
+    loc = corloc(images.select(label, F.lit(True).alias("has_truth"), F.coalesce("correct", F.lit(False)).alias("correct")), label)
+    counted = total.filter("n_truth > 0")
+    return counted.join(ap, label, "left").join(loc, label, "left").select(label, F.coalesce("ap", F.lit(0.0)).alias("ap"), "corloc", "n_truth")

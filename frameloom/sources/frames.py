@@ -41,16 +41,6 @@ class Reader(DataSourceReader):
             self.rows = [r for r in self.rows if r in wanted]
         self.per_task = int(options.get("per_task", 50))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Filters on frame decide what is decoded; Spark applies the others."""
-        tests = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
-        for f in filters:
-            test = tests.get(type(f))
-            if test is not None and f.attribute == ("frame",):
-                self.rows = [r for r in self.rows if test(r, f.value)]
-            else:
-                yield f
-
     def partitions(self) -> list[Range]:
         step = self.per_task
         return [Range(s, self.rows[k : k + step]) for s in self.streams for k in range(0, len(self.rows), step)] or [Range(self.streams[0], [])]
@@ -62,8 +52,24 @@ class Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays(cols, names=["stream_id", "frame", "height", "width", "channels", "origin", "data"])
 
 
+class PushReader(Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on frame decide what is decoded; Spark applies the others."""
+        tests = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
+        for f in filters:
+            test = tests.get(type(f))
+            if test is not None and f.attribute == ("frame",):
+                self.rows = [r for r in self.rows if test(r, f.value)]
+            else:
+                yield f
+
+
 class SyntheticFrames(DataSource):
-    """format("frames"): options streams, frames, offset, limit, rows, height, width, per_task."""
+    """format("frames"): options streams, frames, offset, limit, rows, height, width, per_task.
+
+    With the option pushdown filters on frame reach the decoder; Spark then keeps
+    them with the loaded relation, so each query must load its own.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -73,11 +79,9 @@ class SyntheticFrames(DataSource):
         return DDL
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options)
+        return (PushReader if self.options.get("pushdown", "false") == "true" else Reader)(self.options)
 
 
-def register(spark: SparkSession, pushdown: bool = False) -> None:
-    """Register the source. With ``pushdown`` filters on frame reach the decoder;
-    Spark then keeps them with the loaded relation, so each query must load its own."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", str(pushdown).lower())
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SyntheticFrames)

@@ -95,3 +95,12 @@ def test_keypoints_and_masks(spark):
     k = F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")))
     r = one(spark, B.keypoints_rotate_90(k), B.keypoints_flip(k, [0], 5.0), B.mask_iou(F.array(F.lit(7).cast("bigint")), F.array(F.lit(3).cast("bigint"))))
     assert r.c0[0].x == 2.0 and r.c1[0].x == 9.0 and r.c2 == pytest.approx(2 / 3)
+
+
+def test_evaluate_and_mask_nms(spark):
+    t = spark.createDataFrame([("c", 1, 1, 0, 0, 10, 10), ("c", 2, 1, 0, 0, 10, 10), ("e", 1, 1, 0, 0, 5, 5)], "label string, image int, gt_id int, x0 int, y0 int, x1 int, y1 int")
+    d = spark.createDataFrame([("c", 1, 1, 0, 0, 10, 10, 0.9), ("c", 2, 1, 50, 50, 60, 60, 0.8)], "label string, image int, det_id int, x0 int, y0 int, x1 int, y1 int, score double")
+    got = {r.label: (r.ap, r.corloc, r.n_truth) for r in D.evaluate(d, t).collect()}
+    assert got == {"c": (0.5, 0.5, 2.0), "e": (0.0, 0.0, 1.0)}
+    m = spark.createDataFrame([(1, 1, 0.9, [7]), (1, 2, 0.8, [3]), (1, 3, 0.7, [56])], "g int, det_id int, score double, mask array<bigint>")
+    assert {r.det_id for r in D.mask_nms(m, ["g"], 0.5).collect()} == {1, 3}

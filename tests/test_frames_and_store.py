@@ -21,10 +21,8 @@ def frames(spark):
 
 def test_source_pushes_frame_ranges(spark, frames):
     assert frames.filter("frame >= 10 AND frame < 15").count() == 10
-    register(spark, pushdown=True)
-    own = spark.read.format("frames").option("frames", 30).load()
+    own = spark.read.format("frames").option("frames", 30).option("pushdown", "true").load()
     assert own.filter("frame >= 10 AND frame < 15").count() == 5
-    register(spark)
     assert sorted(r.frame for r in spark.read.format("frames").option("rows", "3,7").load().collect()) == [3, 7]
     assert spark.read.format("frames").option("offset", 5).option("limit", 8).load().count() == 3
 
@@ -97,3 +95,23 @@ def test_tracks(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([None, [{"track_id": 1, "left": 5, "top": 6, "right": 9, "bottom": 10}]]))
     r = track_json(spark, str(tmp_path / "t.json"), "s").collect()
     assert [(x.frame, x.x0, x.y1) for x in r] == [(1, 2, 5)]
+
+
+def test_taggers(spark, frames):
+    from frameloom.operators import media, taggers
+
+    a = frames.filter("stream_id = 'a' AND frame < 6")
+    k = taggers.explode_boxes(taggers.key_points(a, low=50, high=100)).collect()
+    assert {r.frame for r in k} == set(range(6)) and all(abs(r.y0 - 24) <= 3 for r in k)
+    seg = taggers.segment_foreground(a, 6).collect()
+    assert len(seg) == 1 and seg[0].y0 >= 15 and seg[0].y1 <= 32
+    got = taggers.detect(a, lambda: lambda images: [[(0, 0, i.shape[1], i.shape[0], 0.9, "all"), (0, 0, 1, 1, 0.1, "low")] for i in images], confidence=0.5)
+    assert got.count() == 6 and got.head().x1 == 64
+    assert taggers.average_change(a).head().average > 0
+    assert taggers.size_movement(a, large=10.0, least=1).filter(F.size("bounding_boxes") > 0).count() >= 1
+    one, two = (taggers.explode_boxes(taggers.seeded_tags(a.drop("data"), seed=4)).collect() for _ in range(2))
+    assert sorted(one) == sorted(two) and all(r.x0 <= r.x1 for r in one)
+    assert taggers.tile_features(a.filter("frame = 0")).count() == 48
+    p = media.properties(a).head()
+    assert (p.frames, p.width) == (6, 64)
+    assert media.auto_split(a, F.col("frame") == 3, 2).select("segment", "clip").distinct().count() == 4
