@@ -540,13 +540,12 @@ def truth_statistics(spark, d):
 
 @query()
 def nms(spark, d):
-    return D.nms(detections(spark, d).filter("frame < 4000"), ["stream_id", "label"], 0.5).select("stream_id", "label", "frame", "idx", "score", *B.SIDES)
+    return D.nms(detections(spark, d), ["stream_id", "label"], 0.5, order=[*B.SIDES, "frame", "idx"]).select("stream_id", "label", "frame", "idx", "score", *B.SIDES)
 
 
 @query()
 def multiclass_nms(spark, d):
-    det = detections(spark, d).filter("frame < 4000")
-    return D.multiclass_nms(det, ["stream_id"], 0.03, 0.5, 20, 30, (0, 0, 100, 80))
+    return D.multiclass_nms(detections(spark, d), ["stream_id"], 0.03, 0.5, 20, 30, (0, 0, 100, 80))
 
 
 @query(f"WITH {DETECTIONS} SELECT stream_id, frame, idx, label, score, x0, y0, x1, y1 FROM d WHERE score > 0.04 QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY score DESC, frame, idx, label, x0, y0, x1, y1) <= 5")
@@ -591,7 +590,7 @@ def first_frame_crops(spark, d):
 
 @query()
 def batch_crops(spark, d):
-    return C.batch_crops(detections(spark, d).filter("stream_id <= 20"), 500)
+    return C.batch_crops(detections(spark, d), 500)
 
 
 @query()
