@@ -66,3 +66,27 @@ def test_batch_crops_of_all_streams(spark, lines):
     expect = [(s, n, k, label, *box) for (s, n), g in groups.items() for k, (label, box) in enumerate(cluster([(f, label, box) for f, _, label, box in sorted(g)]))]
     assert sorted(tuple(r) for r in QUERIES["q_batch_crops"](spark, lines[0]).collect()) == sorted(expect)
     assert {"21", "700"} <= {r[0] for r in expect}
+
+
+def test_video_match_of_all_tiles(spark, tmp_path):
+    """Tiles behind vec_id 420 decide: label 0 matches by them only, label 1 fails by them only."""
+    rows = []
+    for label, early, late in ((0, -1.0, 1.0), (1, 1.0, -1.0)):
+        for v in (*range(label * 21, label * 21 + 21), *range(420 + label * 210, 630 + label * 210)):
+            sign = (early if v < 420 else late) if v % 3 == 2 else 1.0
+            rows.append((v, label, [sign, 0.5]))
+    pd.DataFrame(rows, columns=["vec_id", "label", "embedding"]).to_parquet(tmp_path / "embeddings.parquet", index=False)
+
+    def match(own):
+        sides = defaultdict(list)
+        for v, _, e in own:
+            sides[v % 3, v // 3 % 7].append(e)
+        best = []
+        for f in (0, 1):
+            cos = [(a[0] * b[0] + a[1] * b[1]) / (1.25) for t in range(7) for a in sides[f, t] for b in sides[2, t]]
+            best.append(sum(cos) / len(cos))
+        return max(best) >= 0.2
+
+    expect = {label: match([r for r in rows if r[1] == label]) for label in (0, 1)}
+    assert expect == {0: True, 1: False}
+    assert {r.label: r.match for r in QUERIES["q_video_match"](spark, str(tmp_path)).collect()} == expect
