@@ -155,8 +155,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without repeated runs of lines; n_chars follows."""
-    out = dedup_lines(docs).withColumn("text", F.col("kept_text"))
+    """Pipeline stage: texts without lines that repeat, alone or in runs; n_chars follows."""
+    out = dedup_lines(docs, run=1, gram=1).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -298,6 +298,14 @@ def test_lines_that_share_only_a_fingerprint(spark):
     assert {r.doc_id: r.kept_text for r in got}[3] == ""
 
 
+def test_stage_removes_single_lines_and_pairs(spark, docs, rows):
+    few = [(1, "x\na b\nc\n\ny"), (2, "z\na b\nc\nw"), (3, "only"), (4, "c\n\nown"), (5, "only"), (6, "q\nq")]
+    out = lines.stage_lines(spark, spark.createDataFrame(few, "doc_id bigint, text string"), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: few[0][1], 2: "z\nw", 3: "only", 4: "\nown", 5: "", 6: "q"}
+    got = lines.dedup_lines(docs, run=1, gram=1).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in got) == brute_lines(rows, 1)
+
+
 def test_topk(spark):
     rng = random.Random(4)
     vecs = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(250)]
