@@ -7,6 +7,8 @@ licence texts by a hash join.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ NOTICES = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
 ]
+#: Licences whose complete text is in license_texts/, with the title that may stand above it.
+COMPLETE = {"MIT": "MIT License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "", "GPL-2.0-only": "", "GPL-3.0-only": "", "LGPL-2.1-only": "", "LGPL-3.0-only": "", "MPL-2.0": "", "CC0-1.0": ""}
 #: Spellings that mean the same.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("v2", "version 2"), ("v3", "version 3"), ("organisation", "organization"), ("noncommercial", "non commercial"), ("analog", "analogue"), ("whilst", "while"), ("http", "https")]
 COPYRIGHT = r"(?im)^[ \t\r>*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -51,19 +55,38 @@ def digests(known: DataFrame) -> DataFrame:
 def license_scan(documents: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, unit, line_no, license_id, digest) for each match.
 
-    Units are the whole text ('text', line_no 0) and each line on its own
-    ('line', from 1); a unit matches if its entire canonical form is a known
-    notice. A text of one line that matches gives both rows. Null or empty texts
-    match nothing; a null id stays null; repeated rows match once each.
+    Units are the whole text ('text', line_no 0), each line on its own ('line',
+    from 1) and each block of two lines or more between blank lines ('block',
+    with its first line's number), if the text has other blocks; a unit matches
+    if its entire canonical form is a known text. A text of one line that matches
+    gives both rows. Null or empty texts match nothing; a null id stays null;
+    repeated rows match once each.
     """
     d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    units = F.concat(F.array(F.col("text")), F.split("text", "\n"))
-    u = d.select("doc_id", F.posexplode(units).alias("line_no", "unit_text"))
-    u = u.select("doc_id", "line_no", canonical(F.col("unit_text")).alias("form")).filter("form <> ''")
-    u = u.select("doc_id", "line_no", F.sha2("form", 256).alias("digest"))
-    hit = u.join(digests(known), "digest")
-    unit = F.when(F.col("line_no") == 0, "text").otherwise("line")
-    return hit.select("doc_id", unit.alias("unit"), "line_no", "license_id", "digest")
+    d = d.select("doc_id", "text", F.split("text", "\n").alias("lines"))
+    whole = F.array(_unit("text", F.lit(0), F.col("text")))
+    lines = F.transform("lines", lambda x, i: _unit("line", i + 1, x))
+    u = d.select("doc_id", F.explode(F.concat(whole, lines, _blocks())).alias("u")).select("doc_id", "u.*")
+    u = u.select("doc_id", "unit", "line_no", canonical(F.col("unit_text")).alias("form")).filter("form <> ''")
+    u = u.select("doc_id", "unit", "line_no", F.sha2("form", 256).alias("digest"))
+    return u.join(F.broadcast(digests(known)), "digest").select("doc_id", "unit", "line_no", "license_id", "digest")
+
+
+def _unit(kind: str, line_no: Column, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("unit"), line_no.cast("int").alias("line_no"), text.alias("unit_text"))
+
+
+def _blocks() -> Column:
+    """Units of the blocks of ``lines``, if there are several; those of one line are lines already."""
+    full = lambda i: F.coalesce(F.get("lines", i).rlike(r"[^ \t\r]"), F.lit(False))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    starts = F.filter(places, lambda i: full(i) & ~full(i - 1))
+    ends = F.filter(places, lambda i: full(i) & ~full(i + 1))
+    spans = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["b"] > s["a"])
+    text = lambda s: F.array_join(F.slice("lines", s["a"] + 1, s["b"] - s["a"] + 1), "\n")
+    # one block alone has the form of the whole text
+    some = F.col("text").rlike(r"\n[ \t\r]*\n") & (F.size(starts) > 1)
+    return F.when(some, F.transform(spans, lambda s: _unit("block", s["a"] + 1, text(s)))).otherwise(F.array().cast("array<struct<unit:string,line_no:int,unit_text:string>>"))
 
 
 def known_notices(spark: SparkSession) -> DataFrame:
@@ -71,9 +94,18 @@ def known_notices(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS k(license_id, text)")
 
 
+def known_texts(spark: SparkSession) -> DataFrame:
+    """The notices and the complete licences, these with and without their title."""
+    rows = []
+    for name, title in COMPLETE.items():
+        body = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+        rows += [(name, body)] + [(name, f"{title}\n\n{body}")] * bool(title)
+    return known_notices(spark).unionByName(spark.createDataFrame(rows, "license_id string, text string"))
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return license_scan(docs, known_notices(spark))
+    return license_scan(docs, known_texts(spark))
 
 
 def _canonical_sql(x: str) -> str:

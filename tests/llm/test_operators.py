@@ -383,6 +383,19 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(empty, k).count() == 0
 
 
+def test_complete_licenses_and_wrapped_notices(spark, tmp_path):
+    import pathlib
+
+    texts = pathlib.Path(licenses.__file__).with_name("license_texts")
+    rows = [(n, ("Copyright (c) 2021 B. Author\n\n" + (texts / f"{n}.txt").read_text()).upper()) for n in licenses.COMPLETE]
+    rows += [("titled", "MIT License\n\nCopyright (c) 2021 B. Author\n\n" + (texts / "MIT.txt").read_text())]
+    rows += [("wrapped", "prose\nmore\n \t\nThis work is licensed\nunder the MIT License.\n\nend"), ("one", "prose\n\nLicensed under CC BY 4.0.\n\nend"), ("part", "This work is licensed\nunder the MIT License.\nmore\n\nend")]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.unit, r.line_no, r.license_id) for r in licenses.op3_license_scans(spark, str(tmp_path)).collect())
+    expect = [(n, "text", 0, n) for n in licenses.COMPLETE] + [("titled", "text", 0, "MIT"), ("wrapped", "block", 4, "MIT"), ("one", "line", 3, "CC-BY-4.0")]
+    assert got == sorted(expect)
+
+
 def test_pipeline_stages(spark, docs, rows):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = docs.select("doc_id", "text")
