@@ -203,7 +203,7 @@ def _score(n: int, v: int, ids: str):
                 code = np.where(code >= 0, code, codes(0, an, bn, n, v))
                 c, w = _unpack(r["c"], np.uint32), _unpack(r["w"], np.uint32)
                 code = code[np.cumsum(_new(c, w)) - 1]
-                sums = np.bincount(_unpack(r["doc"], np.uint32), weights=code, minlength=r["docs"]).astype(np.uint32)
+                sums = np.bincount(_unpack(r["doc"], np.uint32), weights=code, minlength=r["docs"]).astype(np.uint64)
                 out.append({"chunk": r["chunk"], "sums": _pack(sums)})
         return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("plain", pa.binary()), ("ids", pa.list_(_arrow(ids))), ("held", pa.binary()), ("sums", pa.binary())]))
 
@@ -218,7 +218,7 @@ def _gather(n: int, ids: str):
         total = np.zeros(len(size), np.int64)
         for r in rows:
             if r["sums"] is not None:
-                total += _unpack(r["sums"], np.uint32)
+                total += _unpack(r["sums"], np.uint64).astype(np.int64)
         return pa.table({"doc_id": pa.array(top["ids"], _arrow(ids)), "held_out": pa.array(np.frombuffer(top["held"], bool)), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
                          "train_tokens": pa.array(np.full(len(size), n), pa.int64()), "base_score": pa.array(base), "score": pa.array(-total / STEPS)})
 

@@ -366,6 +366,20 @@ def test_lm(spark, docs, rows, empty):
     assert total == pytest.approx(1)
 
 
+def test_lm_sums_beyond_32_bits(spark):
+    import math
+
+    held = next(i for i in range(100) if lm.held_out(i))
+    rest = [i for i in range(100) if not lm.held_out(i)][:40]
+    many = 400_000
+    rows = [(held, "new " * many)] + [(i, " ".join(f"w{i}x{k}" for k in range(3000))) for i in rest]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}[held]
+    v, n = 40 * 3000 + 1, 40 * 3001
+    once = math.log10(1 / (n + v + 1))
+    assert got.train_tokens == n and -many * once * lm.STEPS > 2**32
+    assert got.score == pytest.approx(many * once, rel=1e-3)
+
+
 def test_urls(spark):
     e = spark.createDataFrame([("bad.org", "block", "spam", "2024-01-10"), ("bad.org", "remove", None, "2024-02-01"), ("ok.bad.org", "allow", "x", "2024-01-01"), ("site.com/a/b", "block", "y", "2024-01-01"), (None, "block", "z", "2024-01-01")], "key string, action string, category string, day string")
     rows = [("http://bad.org/", "2024-01-09"), ("http://www.BAD.org:80/x", "2024-01-10"), ("http://bad.org", "2024-02-01"), ("https://ok.bad.org/q", "2024-01-15"), ("http://site.com/a/b/c?x", "2024-01-15"), ("http://site.com/a/bc", "2024-01-15"), ("http://notbad.org", "2024-01-15"), (None, "2024-01-15"), ("nonsense", None), ("http://u:p@bad.org/", "2024-01-15")]
