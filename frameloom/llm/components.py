@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = ends.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     edges, before = materialize(edges, "star"), None
     while True:
-        edges = materialize(small_star(large_star(edges)), "star")
+        old, edges = edges, materialize(small_star(large_star(edges)), "star")
+        discard(old)
         stamp = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if stamp == before:
             break

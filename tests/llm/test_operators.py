@@ -210,6 +210,38 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("bridge", [(3,), (None,), (None, None)])
+def test_bridge_without_an_id_links(spark, bridge):
+    base = [f"b{i}" for i in range(200)]
+    text = lambda k: " ".join(["x"] * 0 + base[k:] + [f"new{i}" for i in range(k)])
+    rows = [(1, text(0)), (2, text(24)), *[(b, text(12)) for b in bridge], (None, "of no one " + text(150)[:300])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), minhash.CONTRACT).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got}[2] == 1
+
+
+def test_hot_group_under_the_threshold(spark, monkeypatch):
+    """A component ends where similarity ends, and links number fewer than documents."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([3, 5, 6, 7])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    made = []
+    keep = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda d, label: made.append((label, keep(d, label))) or made[-1][1])
+    monkeypatch.setattr(minhash, "discard", lambda *t: None)
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), minhash.CONTRACT).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    blocks = next(t for n, t in made if n == "minhash-contacts").select("key", "block").distinct().count()
+    assert [t for n, t in made if n == "minhash-links"][1].count() <= 300 * max(blocks, 1)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
