@@ -52,8 +52,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, depth: int):
-        """``text``: symbols from 0; patterns of up to ``depth`` symbols are exact."""
+    """The Burrows-Wheeler transform in a wavelet matrix, symbol counts, and the
+    document (a 32-bit rank) of each suffix; neither text nor suffix array is kept."""
+
+    def __init__(self, text: np.ndarray, depth: int, document: np.ndarray):
+        """``text``: symbols from 0; patterns of up to ``depth`` symbols are exact.
+        ``document``: the document of each place, by rank."""
         n = len(text)
         order = text.astype(np.int64)
         k = 1
@@ -61,28 +65,39 @@ class FMIndex:
             nxt = np.concatenate([order[k:] + 1, np.zeros(min(k, n), np.int64)])
             order = np.unique(order * (int(order.max()) + 2) + nxt, return_inverse=True)[1]
             k *= 2
-        self.sa = np.argsort(order, kind="stable")
-        self.text = text
-        self.wavelet = WaveletMatrix(text[self.sa - 1])
+        suffixes = np.argsort(order, kind="stable")
+        self.document = document[suffixes]
+        self.wavelet = WaveletMatrix(text[suffixes - 1])
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
 
-    def windows(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix ranges of the windows of ``length`` symbols at ``at``, by backward
-        search from the last symbol: (index into ``at``, low, high). A window is
-        given up as soon as it cannot occur twice."""
-        index = np.arange(len(at))
-        c = self.text[at + length - 1]
-        lo, hi = self.first[c], self.first[c + 1]
-        for j in range(length - 2, -1, -1):
-            twice = hi - lo > 1
-            index, lo, hi = index[twice], lo[twice], hi[twice]
-            if not len(index):
+    def matching_statistics(self, pattern: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in ``ends``, the length, up to ``most``, of the longest part of
+        ``pattern`` that ends there and occurs in the text, and the least document
+        rank among the occurrences of that part. Symbol 0 matches nothing."""
+        length, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.document))
+        on = np.arange(len(ends))
+        for j in range(most):
+            at = ends[on] - j
+            on, at = on[at >= 0], at[at >= 0]
+            c = pattern[at].astype(np.int64)
+            known = (c > 0) & (c < len(self.first) - 1)
+            on, c = on[known], c[known]
+            if not len(on):
                 break
-            c = self.text[at[index] + j]
-            both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            lo, hi = self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
-        twice = hi - lo > 1
-        return index[twice], lo[twice], hi[twice]
+            if j:
+                both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo[on], hi[on]]))
+                a, b = self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
+            else:
+                a, b = self.first[c], self.first[c + 1]
+            found = b > a
+            on = on[found]
+            lo[on], hi[on], length[on] = a[found], b[found], j + 1
+        whole = np.flatnonzero(length == most)  # equal ranges repeat, others don't overlap
+        least = np.zeros(len(ends), np.uint32)
+        least[whole] = least_in(lo[whole], hi[whole], self.document)
+        for x in np.flatnonzero((length > 0) & (length < most)).tolist():
+            least[x] = self.document[lo[x] : hi[x]].min()
+        return length, least
 
 
 def least_in(ranges_lo: np.ndarray, ranges_hi: np.ndarray, values: np.ndarray) -> np.ndarray:

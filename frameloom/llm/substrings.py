@@ -1,26 +1,29 @@
 """Substring dedup: word windows that also occur in an earlier document.
 
 A window's anchor is the least of its word m-grams, so equal windows have equal
-anchors. Consecutive windows with one anchor form a segment. Segments meet by
-anchor: equal ones settle by their least document, and those that only share the
-anchor go to a compressed FM-index per shard, where backward search finds the
-windows that repeat.
+anchors. Consecutive windows with one anchor form a segment, and segments go to
+shards by anchor. A chunk of documents sends each of its distinct segments once;
+of those that share an anchor with another document, one copy each becomes the
+text of the shard's compressed FM-index. All of them are then streamed against it:
+backward search gives their matching statistics up to the window, and the least
+document that holds each window. What it finds goes back to every occurrence.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fmindex import FMIndex, least_in
-from .storage import materialize, shard_count
+from .fmindex import FMIndex
+from .rows import packed, replaced, unpacked
+from .storage import discard, materialize, shard_count
 from .words import Words, grams, mix, slices, stream
 
 ANCHOR = 5
@@ -41,7 +44,7 @@ def segments(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     if total <= 0:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     value = mix(g)
-    best, off = value[:total].copy(), np.zeros(total, np.int8)
+    best, off = value[:total].copy(), np.zeros(total, np.int32)
     for j in range(1, span):
         less = value[j : j + total] < best
         best[less] = value[j : j + total][less]
@@ -55,7 +58,7 @@ def segments(w: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     start, last = p[new], p[np.append(new[1:], len(p)) - 1]
     size = last - start + window
     anchor = g[at[new]]
-    digest = (size + (at[new] - start) * 64).astype(np.uint64)
+    digest = (size + (at[new] - start) * 65_536).astype(np.uint64)
     odd = stream(window + span, 41)
     for j in range(int(size.max())):
         on = np.flatnonzero(size > j)
@@ -71,30 +74,64 @@ def _spread(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
             yield s, order[edge[s] : edge[s + 1]]
 
 
-MAPPED = "shard int, ids binary, keys binary, doc binary, start binary, size binary, anchor binary, digest binary"
+def _batch(fields: list[tuple[str, pa.DataType]], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
 
 
-def _map(shards: int, window: int):
+def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return [(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+CHUNKS = "chunk string, shard int, ids binary, keys binary, doc binary, start binary, size binary, new binary, edge binary, anchor binary, digest binary, lo binary, hi binary"
+
+
+def _chunks(shards: int, window: int):
+    """Chunks of documents: a row with all segments (shard -1), which stays with the
+    chunk, and for each shard the distinct ones with their least and greatest id."""
+    fields = _fields(CHUNKS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         held, docs, size = [], [], 0
 
         def flush():
-            nonlocal held, docs, size
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            nonlocal held, docs, size, number
+            doc, start, many, anchor, digest = (np.concatenate(x) for x in zip(*held, strict=True))
             ids, keys = np.array([x[0] for x in docs], np.int64), np.array([x[1] for x in docs], np.int64)
             held, docs, size = [], [], 0
-            for s, rows in _spread((cols[3] % np.uint64(shards)).astype(np.int64), shards):
-                used, doc = np.unique(cols[0][rows], return_inverse=True)
-                start = cols[1][rows]
-                row = [_pack(ids[used]), _pack(keys[used]), _pack(doc.astype(np.uint32)), _pack(start.astype(np.uint32)), _pack(cols[2][rows].astype(np.uint8)), cols[3][rows].tobytes(), cols[4][rows].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], names=[c.split()[0] for c in MAPPED.split(", ")])
-
-        for part, texts in slices(batches, "text"):
+            shard = (anchor % np.uint64(shards)).astype(np.int32)
+            order = np.lexsort((ids[doc], digest, anchor, shard))
+            doc, start, many, anchor, digest, shard = (x[order] for x in (doc, start, many, anchor, digest, shard))
+            new = _changes(anchor, digest)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(new)) - 1
+            edge = np.searchsorted(shard[first], np.arange(shards + 1))
+            name = f"{part}-{number}"
+            number += 1
+            yield _batch(fields, [{"chunk": name, "shard": -1, "ids": _pack(ids), "keys": keys.tobytes(), "doc": _pack(doc.astype(np.uint32)), "start": _pack(start.astype(np.uint32)), "size": _pack(many.astype(np.uint16)), "new": _pack(np.packbits(new)), "edge": _pack(edge)}])
+            lo, hi = ids[doc[first]], ids[doc[last]]
+            rows = []
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                own = slice(edge[s], edge[s + 1])
+                rows.append({"chunk": name, "shard": s, "anchor": anchor[first[own]].tobytes(), "digest": digest[first[own]].tobytes(), "lo": _pack(lo[own]), "hi": _pack(hi[own] - lo[own])})
+            yield _batch(fields, rows)
+
+        for batch, texts in slices(batches, "text"):
             w = Words(texts)
             d, *rest = segments(w, w.hashes(), window)
             if len(d):
                 held.append((d + len(docs), *rest))
-            docs += zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)
+            docs += zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
             size += sum(map(len, texts))
             if size > HELD and held:
                 yield from flush()
@@ -104,76 +141,96 @@ def _map(shards: int, window: int):
     return run
 
 
-FOUND = "doc_id long, key long, start int, size int, anchor long"
-
-
-def _table(ids, keys, start, size, anchor) -> pa.Table:
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "start": pa.array(start, pa.int32()), "size": pa.array(size, pa.int32()), "anchor": pa.array(anchor, pa.int64())})
-
-
-def _settle(t: pa.Table) -> pa.Table:
-    """Of one shard: segments that an earlier document has whole (anchor null),
-    and those to search because others share their anchor (anchor given)."""
-    ids, keys, start, size, anchor, digest = ([] for _ in range(6))
-    for r in t.to_pylist():
-        doc = _unpack(r["doc"], np.uint32)
-        ids.append(_unpack(r["ids"], np.int64)[doc])
-        keys.append(_unpack(r["keys"], np.int64)[doc])
-        start.append(_unpack(r["start"], np.uint32))
-        size.append(_unpack(r["size"], np.uint8))
-        anchor.append(np.frombuffer(r["anchor"], np.uint64))
-        digest.append(np.frombuffer(r["digest"], np.uint64))
-    ids, keys, start, size, anchor, digest = map(np.concatenate, (ids, keys, start, size, anchor, digest))
-    order = np.lexsort((ids, digest, anchor))
-    ids, keys, start, size, anchor, digest = (x[order] for x in (ids, keys, start, size, anchor, digest))
-    newa = np.append(True, anchor[1:] != anchor[:-1])
-    newd = newa | np.append(True, digest[1:] != digest[:-1])
-    least = ids[np.flatnonzero(newd)][np.cumsum(newd) - 1]
-    gone = ids > least
-    # anchors with several digests, in several documents
-    group = np.cumsum(newa) - 1
-    heads = np.flatnonzero(newa)
-    several = np.add.reduceat(newd.astype(np.int64), heads) > 1
-    several &= np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads)
-    ask = ~gone & several[group]
-    none = [None] * int(gone.sum())
-    a = _table(ids[gone], keys[gone], start[gone].astype(np.int32), size[gone].astype(np.int32), none)
-    b = _table(ids[ask], keys[ask], start[ask].astype(np.int32), size[ask].astype(np.int32), anchor[ask].view(np.int64))
-    return pa.concat_tables([a, b])
-
-
-ASKED = "shard int, ids binary, keys binary, start binary, size binary, vocabulary binary, symbols binary"
+SHARED = "chunk string, shard int, place binary, kind binary, anchor binary, digest binary"
+#: Kinds of shared segments: the copy that stands for all equal ones, and one in several documents.
+STANDS, SEVERAL = 2, 4
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """Of one shard, for each chunk: its segments whose anchor is in several documents."""
+    rows = t.to_pylist()
+    anchor, digest = (np.concatenate([np.frombuffer(r[k], np.uint64) for r in rows]) for k in ("anchor", "digest"))
+    lo = np.concatenate([_unpack(r["lo"], np.int64) for r in rows])
+    hi = lo + np.concatenate([_unpack(r["hi"], np.int64) for r in rows])
+    size = [len(r["anchor"]) // 8 for r in rows]
+    order = np.lexsort((lo, digest, anchor))
+    anchor, digest, lo, hi = (x[order] for x in (anchor, digest, lo, hi))
+    newa, newd = _changes(anchor), _changes(anchor, digest)
+
+    def several(new: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(new)
+        return (np.minimum.reduceat(lo, at) < np.maximum.reduceat(hi, at))[np.cumsum(new) - 1]
+
+    kind = np.zeros(len(order), np.uint8)
+    kind[order] = np.where(several(newa), 1 + STANDS * newd + SEVERAL * several(newd), 0)
+    out, at = [], 0
+    for r, n in zip(rows, size, strict=True):
+        own = kind[at : at + n]
+        at += n
+        place = np.flatnonzero(own)
+        if len(place):
+            pick = lambda c: np.frombuffer(r[c], np.uint64)[place].tobytes()  # noqa: E731, B023
+            out.append({"chunk": r["chunk"], "shard": r["shard"], "place": _pack(place.astype(np.uint32)), "kind": _pack(own[place]), "anchor": pick("anchor"), "digest": pick("digest")})
+    return pa.Table.from_pylist(out, schema=pa.schema(_fields(SHARED)))
+
+
+OCCURRENCES = "doc_id long, key long, start int, size int, anchor long, digest long, stands boolean, several boolean"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for the shared segments of chunks with what the shards said of them."""
+    names = [k for k, _ in _fields(OCCURRENCES)]
+    for batch in batches:
+        for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+            doc = _unpack(r["doc"], np.uint32)
+            new = np.unpackbits(_unpack(r["new"], np.uint8), count=len(doc)).view(bool)
+            entry, edge = np.cumsum(new) - 1, _unpack(r["edge"], np.int64)
+            kind = np.zeros(int(edge[-1]), np.uint8)
+            anchor, digest = np.zeros((2, len(kind)), np.int64)
+            for x in r["shared"]:
+                at = edge[x["shard"]] + _unpack(x["place"], np.uint32)
+                kind[at] = _unpack(x["kind"], np.uint8)
+                anchor[at], digest[at] = np.frombuffer(x["anchor"], np.int64), np.frombuffer(x["digest"], np.int64)
+            on = np.flatnonzero(kind[entry])
+            doc, e = doc[on], entry[on]
+            cols = [_unpack(r["ids"], np.int64)[doc], np.frombuffer(r["keys"], np.int64)[doc], _unpack(r["start"], np.uint32)[on].astype(np.int32), _unpack(r["size"], np.uint16)[on].astype(np.int32)]
+            cols += [anchor[e], digest[e], new[on] & (kind[e] & STANDS > 0), kind[e] & SEVERAL > 0]
+            for at in range(0, len(on), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in cols], names=names)
+
+
+TEXTS = "shard int, ids binary, size binary, anchor binary, digest binary, several binary, vocabulary binary, symbols binary"
 
 
 def _extract(shards: int):
-    """Symbols of the asked segments: (doc_id, text, key, asked)."""
+    """Symbols of the segments that stand for all equal ones: (doc_id, text, asked)."""
+    fields = _fields(TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             nonlocal held, size
-            ids, keys, start, many, anchor, h = (np.concatenate([x[k] for x in held]) for k in range(6))
+            ids, many, anchor, digest, several, h = (np.concatenate([x[k] for x in held]) for k in range(6))
             held, size = [], 0
             at = np.cumsum(many) - many
             for s, rows in _spread((anchor.view(np.uint64) % np.uint64(shards)).astype(np.int64), shards):
                 n = many[rows]
                 shift = np.repeat(at[rows] - (np.cumsum(n) - n), n)
                 vocabulary, symbols = np.unique(h[np.arange(len(shift)) + shift], return_inverse=True)
-                row = [_pack(ids[rows]), _pack(keys[rows]), _pack(start[rows].astype(np.uint32)), _pack(n.astype(np.uint8)), vocabulary.tobytes(), _pack(symbols.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], names=[c.split()[0] for c in ASKED.split(", ")])
+                yield _batch(fields, [{"shard": s, "ids": _pack(ids[rows]), "size": _pack(n.astype(np.uint16)), "anchor": anchor[rows].tobytes(), "digest": digest[rows].tobytes(), "several": _pack(several[rows]), "vocabulary": vocabulary.tobytes(), "symbols": _pack(symbols.astype(np.uint32))}])
 
         for part, texts in slices(batches, "text"):
             w = Words(texts)
             h = w.hashes()
-            asked = part.column(3)
+            asked = part.column(2)
             n = np.asarray(pc.list_value_length(asked), np.int64)
             flat = pc.list_flatten(asked)
-            start, many, anchor = (np.asarray(pc.struct_field(flat, k), np.int64) for k in range(3))
+            start, many, anchor, digest = (np.asarray(pc.struct_field(flat, k), np.int64) for k in range(4))
+            several = np.asarray(pc.struct_field(flat, 4).cast(pa.uint8()))
             doc = np.repeat(np.arange(len(n)), n)
-            first = w.first[doc] + start
-            shift = np.repeat(first - (np.cumsum(many) - many), many)
-            held.append((np.asarray(part.column(0), np.int64)[doc], np.asarray(part.column(2), np.int64)[doc], start, many, anchor, h[np.arange(len(shift)) + shift]))
+            shift = np.repeat(w.first[doc] + start - (np.cumsum(many) - many), many)
+            held.append((np.asarray(part.column(0), np.int64)[doc], many, anchor, digest, several, h[np.arange(len(shift)) + shift]))
             size += len(shift) * 8
             if size > HELD:
                 yield from flush()
@@ -183,38 +240,39 @@ def _extract(shards: int):
     return run
 
 
+RUNS = "anchor long, digest long, offset int, windows int, least long"
+
+
 def _search(window: int):
     def run(t: pa.Table) -> pa.Table:
-        ids, keys, start, size, h = ([] for _ in range(5))
-        for r in t.to_pylist():
-            ids.append(_unpack(r["ids"], np.int64))
-            keys.append(_unpack(r["keys"], np.int64))
-            start.append(_unpack(r["start"], np.uint32).astype(np.int64))
-            size.append(_unpack(r["size"], np.uint8).astype(np.int64))
-            h.append(np.frombuffer(r["vocabulary"], np.uint64)[_unpack(r["symbols"], np.uint32)])
-        ids, keys, start, size, h = map(np.concatenate, (ids, keys, start, size, h))
+        """Of one shard: runs of windows of a segment with the least document of each."""
+        rows = t.to_pylist()
+        ids, size, several = (np.concatenate([_unpack(r[k], kind) for r in rows]) for k, kind in (("ids", np.int64), ("size", np.uint16), ("several", np.uint8)))
+        anchor, digest = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("anchor", "digest"))
+        h = np.concatenate([np.frombuffer(r["vocabulary"], np.uint64)[_unpack(r["symbols"], np.uint32)] for r in rows])
         # segments one after another, each with a 0 behind it
-        symbol = np.unique(h, return_inverse=True)[1] + 1
+        size = size.astype(np.int64)
+        symbol = (np.unique(h, return_inverse=True)[1] + 1).astype(np.uint32)
         n = size + 1
         at = np.cumsum(n) - n
-        text = np.zeros(int(n.sum()), np.int64)
-        seg = np.repeat(np.arange(len(n)), n)
+        text = np.zeros(int(n.sum()), np.uint32)
+        seg = np.repeat(np.arange(len(n), dtype=np.uint32), n)
         text[np.arange(len(text)) != np.repeat(at + size, n)] = symbol
-        index = FMIndex(text, window)
+        ranks, rank = np.unique(ids, return_inverse=True)
+        index = FMIndex(text, window, rank.astype(np.uint32)[seg])
         many = size - window + 1
         own = np.repeat(np.arange(len(n)), many)
         inner = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-        which, lo, hi = index.windows(at[own] + inner, window)
-        least = least_in(lo, hi, ids[seg[index.sa]])
-        hit = which[least < ids[own[which]]]
-        hit.sort()
-        # runs of windows that follow each other give one interval
-        o, p = own[hit], inner[hit]
-        new = np.append(True, (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1))[: len(hit)]
+        length, least = index.matching_statistics(text, at[own] + inner + window - 1, window)
+        least = ranks[least]
+        hit = np.flatnonzero((length >= window) & ((several[own] > 0) | (least < ids[own])))
+        # windows that follow each other with one least document give one interval
+        o, p, v = own[hit], inner[hit], least[hit]
+        new = _changes(o, p - np.arange(len(p)), v)
         head = np.flatnonzero(new)
         run_ = np.diff(np.append(head, len(hit)))
-        o, p = o[head], p[head]
-        return _table(ids[o], keys[o], start[o] + p, run_ + window - 1, [None] * len(o))
+        o = o[head]
+        return pa.table({"anchor": anchor[o], "digest": digest[o], "offset": pa.array(p[head], pa.int32()), "windows": pa.array(run_, pa.int32()), "least": v[head]})
 
     return run
 
@@ -223,34 +281,32 @@ def repeated_intervals(documents: DataFrame, window: int) -> DataFrame:
     """(doc_id, key, start, size) of the word intervals to remove; they overlap.
     ``documents``: doc_id long, text, key (a hash of the text)."""
     shards = shard_count(documents)
-    mapped = documents.mapInArrow(_map(shards, window), MAPPED)
-    found = materialize(mapped.groupBy("shard").applyInArrow(_settle, FOUND), "substring-found")
-    asked = found.filter("anchor IS NOT NULL").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size", "anchor")).alias("asked"))
-    joined = documents.dropDuplicates(["doc_id", "key"]).join(asked, ["doc_id", "key"]).select("doc_id", "text", "key", "asked")
-    searched = joined.mapInArrow(_extract(shards), ASKED).groupBy("shard").applyInArrow(_search(window), FOUND)
-    return found.filter("anchor IS NULL").unionByName(searched).select("doc_id", "key", "start", "size")
-
-
-def remove_repeats(documents: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``documents`` with n_words, n_removed, kept_words and kept_text.
-
-    A word goes if a window of ``window`` words covers it whose word sequence also
-    starts in a document with a smaller id; windows are judged on the input.
-    kept_words joins the kept words with single blanks; kept_text is the text
-    without the removed words and the white space before each. Null texts have no
-    words (kept_text null); rows with a null id neither lose nor cover anything;
-    rows of one id don't affect each other. Words are compared by 64-bit hashes,
-    segments by pairs of them.
-    """
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"), row)
-    gone = repeated_intervals(base.drop("row").filter("doc_id IS NOT NULL AND text IS NOT NULL"), window)
-    gone = gone.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    joined = base.join(gone, ["doc_id", "key"], "left").select("row", "text", "gone")
+    chunks = materialize(documents.select("doc_id", "text", "key").mapInArrow(_chunks(shards, window), CHUNKS), "substring-chunks")
+    distinct = chunks.filter("shard >= 0").select("chunk", "shard", "anchor", "digest", "lo", "hi")
+    said = distinct.groupBy("shard").applyInArrow(_shared, SHARED)
+    said = said.groupBy("chunk").agg(F.collect_list(F.struct("shard", "place", "kind", "anchor", "digest")).alias("shared"))
+    whole = chunks.filter("shard < 0").select("chunk", "ids", "keys", "doc", "start", "size", "new", "edge").join(said, "chunk")
+    shared = materialize(whole.mapInArrow(_occurrences, OCCURRENCES), "substring-shared")
+    discard(chunks)
+    asked = shared.filter("stands").groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size", "anchor", "digest", "several")).alias("asked"))
+    texts = documents.join(asked, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "text", "asked")
+    runs = materialize(texts.mapInArrow(_extract(shards), TEXTS).groupBy("shard").applyInArrow(_search(window), RUNS), "substring-runs")
+    met = shared.select("doc_id", "key", "start", "anchor", "digest").join(runs, ["anchor", "digest"]).filter("least < doc_id")
+    return met.select("doc_id", "key", (F.col("start") + F.col("offset")).alias("start"), (F.col("windows") + (window - 1)).alias("size"))
+
+
+def _cut(documents: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
+    """(row, n_words, n_removed, kept_words, kept_text); the text moves in ``row`` alone."""
+    base = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), packed(documents))
+    read = base.select("doc_id", F.col("row").getField(text).alias("text"), "key").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    gone = repeated_intervals(read, window)
+    gone = materialize(gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "size")).alias("gone")), "substring-gone")
+    joined = base.join(gone, ["doc_id", "key"], "left").select("row", "gone")
     schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_words", "binary").add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        with_text = (pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), [text]), b.column(1)], names=["row", "text", "gone"]) for b in batches)
+        for part, texts in slices(with_text, "text"):
             w = Words(texts)
             words, removed, kept, cut = [], [], [], []
             for i, g in enumerate(part.column(2).to_pylist()):
@@ -260,7 +316,7 @@ def remove_repeats(documents: DataFrame, window: int = 13, doc_id: str = "doc_id
                 if not g:
                     removed.append(0)
                     kept.append(b" ".join(own))
-                    cut.append(part.column(1)[i].as_py() and texts[i].decode() if texts[i] else part.column(1)[i].as_py())
+                    cut.append(part.column(1)[i].as_py())
                     continue
                 mark = np.zeros(b - a + 1, np.int64)
                 for x in g:
@@ -276,7 +332,27 @@ def remove_repeats(documents: DataFrame, window: int = 13, doc_id: str = "doc_id
                 cut.append((b"".join(left) + texts[i][ends[-1] :]).decode())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(cut, pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).select("row.*", "n_words", "n_removed", "kept_words", "kept_text")
+    return joined.mapInArrow(run, schema)
+
+
+ADDED = ["n_words", "n_removed", "kept_words", "kept_text"]
+
+
+def remove_repeats(documents: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with n_words, n_removed, kept_words and kept_text.
+
+    A word goes if a window of ``window`` words (at least 2, at most 30000) covers it
+    whose word sequence also starts in a document with a smaller id; windows are
+    judged on the input. kept_words joins the kept words with single blanks; kept_text
+    is the text without the removed words and the white space before each. Null texts
+    have no words (kept_text null); rows with a null id neither lose nor cover
+    anything; rows of one id don't affect each other. Ids are cast to long; other
+    columns stay, but one with the name of an added column gives way to it. Words are
+    compared by 64-bit hashes, segments by pairs of them.
+    """
+    if not 2 <= window <= 30_000:
+        raise ValueError(f"window must be from 2 to 30000, not {window}")
+    return _cut(documents, window, doc_id, text).select(*unpacked(documents.columns, *ADDED))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +363,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated passages; n_chars follows the text."""
-    out = remove_repeats(docs, 13).withColumn("text", F.col("kept_text"))
+    new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return _cut(docs, 13, "doc_id", "text").select(*replaced(docs.columns, **new))

@@ -289,13 +289,25 @@ def test_substrings(spark, docs, rows, empty):
 def test_fm_index():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 5, 500), 0)  # a 0 ends the text
-    index = fmindex.FMIndex(text, 6)
-    at = np.arange(0, 495)
-    which, lo, hi = index.windows(at, 6)
-    counts = collections.Counter(tuple(text[i : i + 6]) for i in range(495))
-    for w, a, b in zip(which, lo, hi, strict=True):
-        assert b - a == counts[tuple(text[at[w] : at[w] + 6])]
-    assert set(which.tolist()) == {i for i in at.tolist() if counts[tuple(text[i : i + 6])] > 1}
+    document = np.arange(501) // 50
+    index = fmindex.FMIndex(text, 6, document)
+    pattern = np.append(rng.integers(0, 7, 300), text[40:90])
+    length, least = index.matching_statistics(pattern, np.arange(len(pattern)), 6)
+    places = collections.defaultdict(list)
+    for n in range(1, 7):
+        for i in range(500 - n + 1):
+            places[tuple(text[i : i + n])].append(int(document[i]))
+    for e in range(len(pattern)):
+        found = [n for n in range(1, min(6, e + 1) + 1) if tuple(pattern[e - n + 1 : e + 1]) in places]
+        assert length[e] == max(found, default=0)
+        if found:
+            assert least[e] == min(places[tuple(pattern[e - max(found) + 1 : e + 1])])
+
+
+@pytest.mark.parametrize("window", [2, 5, 40])
+def test_substrings_of_other_windows(spark, docs, rows, window):
+    got = substrings.remove_repeats(docs, window).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, bytes(r.kept_words)) for r in got) == brute_substrings(rows, window)
 
 
 def brute_lines(rows, run):
