@@ -1,17 +1,24 @@
-"""License scans: canonical digests of whole texts against known notices.
+"""License scans: canonical digests of texts, lines and blocks against known licences.
 
-A text is brought to a canonical form (case, punctuation, copyright lines,
-equivalent spellings); its SHA-256 is looked up among the digests of known
-licence texts by a hash join.
+A line is brought to a canonical form (case, punctuation, copyright lines,
+equivalent spellings); the forms of its lines make that of a block or text. Its
+SHA-256 is looked up among the digests of known licence texts by a hash join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pkgutil
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import slices
+
 #: Licence identifiers and notice texts.
 NOTICES = [
     ("MIT", "Released under the MIT License."),
@@ -32,24 +39,65 @@ NOTICES = [
 COMPLETE = {"MIT": "MIT License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "", "GPL-2.0-only": "", "GPL-3.0-only": "", "LGPL-2.1-only": "", "LGPL-3.0-only": "", "MPL-2.0": "", "CC0-1.0": ""}
 #: Spellings that mean the same.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("v2", "version 2"), ("v3", "version 3"), ("organisation", "organization"), ("noncommercial", "non commercial"), ("analog", "analogue"), ("whilst", "while"), ("http", "https")]
-COPYRIGHT = r"(?im)^[ \t\r>*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-
-
-def canonical(text: Column) -> Column:
-    """Lower case A-Z, without copyright lines, punctuation as blanks, one blank
-    between words, equivalent spellings unified."""
-    t = F.regexp_replace(text, COPYRIGHT, " ")
-    t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), F.lit(" "))
-    for a, b in SPELLINGS:
-        t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.regexp_replace(F.regexp_replace(t, "^ +", ""), " +$", "")
+COPYRIGHT = re.compile(r"[ \t\r>*#/;-]*(?:copyright|\(c\)|©|all rights reserved)".encode(), re.IGNORECASE)
+#: A-Z to lower case, other ASCII than letters and digits to blanks.
+FOLD = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+SAME = {a.encode(): b.encode() for a, b in SPELLINGS}
+
+
+def line_form(line: bytes) -> bytes:
+    """Canonical form of one line; empty if it has no word or is a copyright line."""
+    if COPYRIGHT.match(line):
+        return b""
+    words = line.translate(FOLD).split(b" ")
+    if not SAME.keys().isdisjoint(words):
+        words = [SAME.get(w, w) for w in words]
+    return b" ".join(filter(None, words))
+
+
+def canonical(text: bytes) -> bytes:
+    return b" ".join(filter(None, map(line_form, text.split(b"\n"))))
+
+
+def _units(text: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """(unit, number of its first line, canonical form)."""
+    lines = text.split(b"\n")
+    forms = [line_form(x) for x in lines]
+    join = lambda part: b" ".join(filter(None, part))
+    yield "text", 0, join(forms)
+    for i, f in enumerate(forms):
+        yield "line", i + 1, f
+    blocks, begin = [], None
+    for i, x in enumerate([*lines, b""]):
+        if x.strip(b" \t\r"):
+            begin = i if begin is None else begin
+        elif begin is not None:
+            blocks.append((begin, i))
+            begin = None
+    if len(blocks) > 1:  # one block alone has the form of the whole text
+        for a, b in blocks:
+            if b > a + 1:  # those of one line are lines already
+                yield "block", a + 1, join(forms[a:b])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in slices(batches, "text"):
+        row, unit, line, digest = [], [], [], []
+        for i, t in enumerate(texts):
+            for kind, number, form in _units(t):
+                if form:
+                    row.append(i)
+                    unit.append(kind)
+                    line.append(number)
+                    digest.append(hashlib.sha256(form).hexdigest())
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.array(row, np.int64))), pa.array(unit, pa.string()), pa.array(line, pa.int32()), pa.array(digest, pa.string())], names=["id", "unit", "line_no", "digest"])
 
 
 def digests(known: DataFrame) -> DataFrame:
-    """(digest, license_id) of notices (license_id, text); the first id of equal texts."""
-    d = known.select("license_id", canonical(F.col("text")).alias("form")).filter("form <> ''")
-    return d.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id) of licence texts (license_id, text); the first id of equal texts."""
+    kind = known.schema["license_id"].dataType.simpleString()
+    d = known.select(F.col("license_id").alias("id"), "text").filter("text IS NOT NULL").mapInArrow(_digests, f"id {kind}, unit string, line_no int, digest string")
+    return d.filter("unit = 'text'").groupBy("digest").agg(F.min("id").alias("license_id"))
 
 
 def license_scan(documents: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,34 +107,12 @@ def license_scan(documents: DataFrame, known: DataFrame, doc_id: str = "doc_id",
     from 1) and each block of two lines or more between blank lines ('block',
     with its first line's number), if the text has other blocks; a unit matches
     if its entire canonical form is a known text. A text of one line that matches
-    gives both rows. Null or empty texts match nothing; a null id stays null;
-    repeated rows match once each.
+    gives both rows. Null or empty texts match nothing; a null id stays null and ids
+    may be of any type; repeated rows match once each; other columns are not read.
     """
-    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    d = d.select("doc_id", "text", F.split("text", "\n").alias("lines"))
-    whole = F.array(_unit("text", F.lit(0), F.col("text")))
-    lines = F.transform("lines", lambda x, i: _unit("line", i + 1, x))
-    u = d.select("doc_id", F.explode(F.concat(whole, lines, _blocks())).alias("u")).select("doc_id", "u.*")
-    u = u.select("doc_id", "unit", "line_no", canonical(F.col("unit_text")).alias("form")).filter("form <> ''")
-    u = u.select("doc_id", "unit", "line_no", F.sha2("form", 256).alias("digest"))
-    return u.join(F.broadcast(digests(known)), "digest").select("doc_id", "unit", "line_no", "license_id", "digest")
-
-
-def _unit(kind: str, line_no: Column, text: Column) -> Column:
-    return F.struct(F.lit(kind).alias("unit"), line_no.cast("int").alias("line_no"), text.alias("unit_text"))
-
-
-def _blocks() -> Column:
-    """Units of the blocks of ``lines``, if there are several; those of one line are lines already."""
-    full = lambda i: F.coalesce(F.get("lines", i).rlike(r"[^ \t\r]"), F.lit(False))
-    places = F.sequence(F.lit(0), F.size("lines") - 1)
-    starts = F.filter(places, lambda i: full(i) & ~full(i - 1))
-    ends = F.filter(places, lambda i: full(i) & ~full(i + 1))
-    spans = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["b"] > s["a"])
-    text = lambda s: F.array_join(F.slice("lines", s["a"] + 1, s["b"] - s["a"] + 1), "\n")
-    # one block alone has the form of the whole text
-    some = F.col("text").rlike(r"\n[ \t\r]*\n") & (F.size(starts) > 1)
-    return F.when(some, F.transform(spans, lambda s: _unit("block", s["a"] + 1, text(s)))).otherwise(F.array().cast("array<struct<unit:string,line_no:int,unit_text:string>>"))
+    d = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
+    u = d.mapInArrow(_digests, f"id {d.schema['id'].dataType.simpleString()}, unit string, line_no int, digest string")
+    return u.join(F.broadcast(digests(known)), "digest").select(F.col("id").alias("doc_id"), "unit", "line_no", "license_id", "digest")
 
 
 def known_notices(spark: SparkSession) -> DataFrame:
