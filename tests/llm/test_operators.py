@@ -367,6 +367,24 @@ def test_topk(spark):
     assert topk.search(d.filter("vec_id < 0"), d.filter("vec_id < 0")).count() == 0
 
 
+def test_topk_of_huge_components_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "RANGE", 16)
+    rng = random.Random(6)
+    vecs = [(i, [rng.gauss(0, 1) * 10.0 ** rng.choice([0, 0, 3]) for _ in range(4)]) for i in range(0, 600, 5)]
+    vecs += [(1, [1e13, 0.0, -1e13, 1e-3]), (2, [1e4, 3.0, 1e13, 0.0]), (3, [1e306, 0.0, 0.0, 0.0]), (3, [0.5, 0.5, 0.5, 0.5])]
+    d = spark.createDataFrame(vecs, "vec_id bigint, embedding array<double>").repartition(5)
+    got = topk.search(d, d.filter("vec_id % 100 = 0 OR vec_id = 1"), 4).collect()
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vecs if all(np.isfinite(1024 * x) for x in v)]
+    expect = []
+    for i, q in ok:
+        if i % 100 == 0 or i == 1:
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))), j) for j, v in ok if j != i)[:4]
+            expect += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(expect)
+    assert any(r.vec_id == 1 for r in got)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top, n in ((10, 50), (10**12, 1000), (5, 1)):
@@ -441,6 +459,13 @@ def test_licenses(spark, docs, empty):
     assert licenses.license_scan(empty, k).count() == 0
 
 
+def test_licenses_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "Licensed under CC BY 4.0."), ("a", "Licensed under CC BY 4.0."), ("a", "Licensed under CC BY 4.0."), ("b", "word " * 300_000 + "\n  LICENSED under cc-by 4.0"), ("c", "\n\n"), ("d", "© 2020 x\r\nLicensed under CC BY 4.0.\r")]
+    d = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id string, text string, digest string, unit int")
+    got = sorted((str(r.doc_id), r.unit, r.line_no) for r in licenses.license_scan(d, licenses.known_notices(spark)).collect())
+    assert got == sorted([("None", "text", 0), ("None", "line", 1), ("a", "text", 0), ("a", "line", 1), ("a", "text", 0), ("a", "line", 1), ("b", "line", 2), ("d", "text", 0), ("d", "line", 2)])
+
+
 def test_complete_licenses_and_wrapped_notices(spark, tmp_path):
     import pathlib
 
