@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import packed, unpacked, with_field
 from .words import slices
 
 NONE = np.int32(2**31 - 1)
@@ -357,32 +358,36 @@ def decode(v: Vocabulary, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
 
 
 def encode_documents(documents: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``documents`` with the array column ``ids``; a null text gives no tokens."""
-    schema = T.StructType([*documents.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    """``documents`` with the array column ``ids``, which replaces one of that name; a
+    null text gives no tokens."""
+    rows = documents.select(packed(documents))
+    schema = T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for part, texts in slices(batches, text):
+        for part, texts in slices(with_field(batches, text), "text"):
             flat, count = e.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(flat))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*unpacked(documents.columns, ids))
 
 
 def decode_documents(documents: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``documents`` with the bytes of the array column ``ids`` (null: empty)."""
-    schema = T.StructType([*documents.schema.fields, T.StructField(out, T.BinaryType())])
+    """``documents`` with the bytes of the array column ``ids`` (null: empty) as ``out``,
+    which replaces a column of that name."""
+    rows = documents.select(packed(documents))
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = encoder(path).v
-        for b in batches:
-            lists = b.column(b.schema.get_field_index(ids))
+        for b in with_field(batches, ids, "ids"):
+            lists = b.column(1)
             count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
             raw = decode(v, np.asarray(pc.list_flatten(lists), np.int64), count)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*unpacked(documents.columns, out))
 
 
 def token_digests(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

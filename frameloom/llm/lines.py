@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .rows import packed, replaced, unpacked
 from .storage import materialize
 from .words import SPACE, grams, mix
 
@@ -60,11 +61,11 @@ def _winnow(run: int, gram: int):
     return f
 
 
-def repeated_lines(documents: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, place, size): intervals of worded lines that repeat a run of
-    ``run`` lines at least which starts at an earlier (doc_id, place)."""
+def repeated_lines(hashed: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """(doc_id, key, place, size): intervals of worded lines of ``hashed`` (see
+    ``line_hashes``, each document once) that repeat a run of ``run`` lines at least which starts at an earlier (doc_id, place)."""
     reach = run - gram
-    prints = documents.transform(line_hashes).mapInArrow(_winnow(run, gram), "print long, doc_id long, key long, place int, context array<long>")
+    prints = hashed.mapInArrow(_winnow(run, gram), "print long, doc_id long, key long, place int, context array<long>")
     prints = materialize(prints, "line-prints")
     place = F.struct("doc_id", "place", "key")
     firsts = prints.groupBy("print").agg(F.min(F.struct("doc_id", "place", "key", "context")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -101,6 +102,26 @@ def _all(conditions):
     return out
 
 
+def _dedup(documents: DataFrame, run: int, gram: int, doc_id: str, text: str) -> DataFrame:
+    """(row, text, n_lines, n_removed, kept_text); the text moves in ``row`` alone."""
+    base = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("key"), packed(documents))
+    read = base.select("doc_id", "key", F.col("row").getField(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    gone = repeated_lines(line_hashes(read).dropDuplicates(["doc_id", "key"]), run, gram)
+    gone = gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "size")).alias("gone"))
+    joined = base.join(materialize(gone, "line-gone"), ["doc_id", "key"], "left")
+    # removed worded lines by number, then the text's lines with those numbers out
+    numbers = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["place"], g["place"] + g["size"] - 1))))
+    joined = joined.select("row", F.col("row").getField(text).alias("text"), F.sort_array(numbers).alias("out"))
+    lines = F.split("text", "\n")
+    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, worded))).cast("long").alias("n_lines")
+    removed = F.when(F.col("out").isNull(), F.lit(0)).otherwise(F.size("out")).cast("long").alias("n_removed")
+    # texts that lose nothing do not enter the function
+    asked = F.when(F.col("out").isNotNull(), F.col("text"))
+    cut = joined.select("row", "text", total, removed, F.pandas_udf(_without, StringType())(asked, F.col("out")).alias("cut"))
+    return cut.select("row", "text", "n_lines", "n_removed", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("cut")).alias("kept_text"))
+
+
 def dedup_lines(documents: DataFrame, run: int = RUN, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with n_lines, n_removed and kept_text.
 
@@ -109,24 +130,12 @@ def dedup_lines(documents: DataFrame, run: int = RUN, gram: int = GRAM, doc_id:
     a smaller id, or further up in the same one. Lines without a word stay where
     they are. Texts with fewer lines, null texts (0 lines, kept_text null) and
     rows with a null id stay as they are; rows that repeat an id are distinct
-    documents of equal rank, and neither removes the other's lines. Lines are
-    compared by 64-bit hashes, runs by several of them.
+    documents of equal rank, and neither removes the other's lines. Ids must be
+    whole numbers, or text of them. Other columns stay; one with the name of an
+    added column gives way to it. Lines are compared by 64-bit hashes, runs by
+    several of them.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    base = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"), row)
-    seen = base.drop("row").filter("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id", "key"])
-    gone = repeated_lines(seen, run, gram)
-    gone = gone.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "size")).alias("gone"))
-    joined = base.join(gone, ["doc_id", "key"], "left")
-    # removed worded lines by number, then the text's lines with those numbers out
-    numbers = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["place"], g["place"] + g["size"] - 1))))
-    lines = F.split("text", "\n")
-    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    joined = joined.select("row", "text", lines.alias("lines"), F.sort_array(numbers).alias("out"))
-    total = F.coalesce(F.size(F.filter("lines", worded)), F.lit(0)).cast("long").alias("n_lines")
-    removed = F.when(F.col("out").isNull(), F.lit(0)).otherwise(F.size("out")).cast("long").alias("n_removed")
-    without = F.pandas_udf(_without, StringType())
-    return joined.select("row.*", F.when(F.col("text").isNull(), F.lit(0)).otherwise(total).alias("n_lines"), removed, F.when(F.col("out").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("out"))).alias("kept_text"))
+    return _dedup(documents, run, gram, doc_id, text).select(*unpacked(documents.columns, "n_lines", "n_removed", "kept_text"))
 
 
 def _without(texts: pd.Series, outs: pd.Series) -> pd.Series:
@@ -156,10 +165,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without lines that repeat, alone or in runs; n_chars follows."""
-    out = dedup_lines(docs, run=1, gram=1).withColumn("text", F.col("kept_text"))
+    new = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return _dedup(docs, 1, 1, "doc_id", "text").select(*replaced(docs.columns, **new))
 
 
 SQL = f"""

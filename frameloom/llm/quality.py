@@ -1,16 +1,20 @@
 """Quality rules: exact per-document statistics and a short-circuit cascade.
 
-Everything is a column expression; no rows leave the JVM.
+Everything is a column expression; no rows leave the JVM but the bounded sample
+that orders the rules.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import packed, replaced, unpacked
+
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Symbols that rule-based filters count.
 SYMBOLS = "#*$%&|<>"
@@ -21,14 +25,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Low bits of a packed window that hold its position; the rest is its hash.
 PLACE_BITS = 21
 
 
-def packed_windows(words: str, n: int = 3) -> Column:
-    """Sorted longs, one per n-word window of the array column ``words``: the
-    high bits are of the window's hash, the low ``PLACE_BITS`` its position."""
-    w = F.col(words)
+def packed_windows(w: Column, n: int = 3) -> Column:
+    """Sorted longs, one per n-word window of the array ``w``: the high bits are of
+    the window's hash, the low ``PLACE_BITS`` its position."""
     place = (1 << PLACE_BITS) - 1
     windows = F.transform(
         F.sequence(F.lit(0), F.size(w) - F.lit(n)),
@@ -37,14 +45,12 @@ def packed_windows(words: str, n: int = 3) -> Column:
     return F.when(F.size(w) >= n, F.sort_array(windows)).otherwise(F.array().cast("array<bigint>"))
 
 
-def twins(packed: str) -> Column:
-    """Positions of windows that share their hash bits with a neighbour in sort
-    order, the neighbours' order kept."""
-    p = F.col(packed)
+def twins(p: Column) -> Column:
+    """Windows that share their hash bits with a neighbour in sort order, the
+    neighbours' order kept."""
     top = lambda x: F.shiftright(x, PLACE_BITS)
-    hits = F.filter(p, lambda x, i: (top(x) == F.coalesce(top(F.get(p, i - 1)), F.lit(-1) - top(x)))
+    return F.filter(p, lambda x, i: (top(x) == F.coalesce(top(F.get(p, i - 1)), F.lit(-1) - top(x)))
                     | (top(x) == F.coalesce(top(F.get(p, i + 1)), F.lit(-1) - top(x))))
-    return hits
 
 
 def covered(starts: Column, n: int) -> Column:
@@ -59,14 +65,10 @@ def covered(starts: Column, n: int) -> Column:
     )
 
 
-def repeated_words(words: str, hits: str, n: int = 3) -> Column:
-    """Words covered by a window that occurs twice or more, counted once each.
-
-    ``hits`` are the ``twins``. Neighbours with equal hash bits are compared word
-    by word; where two differ, or the text outgrows ``PLACE_BITS``, the text's
-    windows are compared as whole word sequences instead.
-    """
-    w, t = F.col(words), F.col(hits)
+def _repeated(w: Column, t: Column, n: int) -> Column:
+    """Words under the windows ``t``, the twins. Neighbours with equal hash bits are
+    compared word by word; where two differ, or the text outgrows ``PLACE_BITS``, the
+    text's windows are compared as whole word sequences instead."""
     place = F.lit((1 << PLACE_BITS) - 1)
     at = lambda x: x.bitwiseAND(place).cast("int")
     top = lambda x: F.shiftright(x, PLACE_BITS)
@@ -75,127 +77,188 @@ def repeated_words(words: str, hits: str, n: int = 3) -> Column:
         F.sequence(F.lit(1), F.size(t) - 1),
         lambda k: (top(F.get(t, k)) == top(F.get(t, k - 1))) & (window(at(F.get(t, k))) != window(at(F.get(t, k - 1)))),
     )
-    fast = covered(F.sort_array(F.transform(t, at)), n)
     whole = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - F.lit(n)), lambda i: F.struct(window(i).alias("g"), i.alias("i"))))
-    pairs = F.filter(
-        F.sequence(F.lit(1), F.size(w) - F.lit(n)), lambda k: F.get(whole, k)["g"] == F.get(whole, k - 1)["g"]
-    )
-    slow = covered(
-        F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, lambda k: F.array(F.get(whole, k)["i"], F.get(whole, k - 1)["i"]))))), n
-    )
-    return F.when(F.size(t) == 0, F.lit(0).cast("bigint")).when((F.size(w) > place) | clash, slow).otherwise(fast)
+
+    def by_sequence(whole: Column) -> Column:
+        pairs = F.filter(F.sequence(F.lit(1), F.size(w) - F.lit(n)), lambda k: F.get(whole, k)["g"] == F.get(whole, k - 1)["g"])
+        ends = F.flatten(F.transform(pairs, lambda k: F.array(F.get(whole, k)["i"], F.get(whole, k - 1)["i"])))
+        return covered(F.sort_array(F.array_distinct(ends)), n)
+
+    fast = covered(F.sort_array(F.transform(t, at)), n)
+    return F.when(F.size(t) == 0, F.lit(0).cast("bigint")).when((F.size(w) > place) | clash, let(whole, by_sequence)).otherwise(fast)
+
+
+def repeated_words(w: Column, n: int = 3) -> Column:
+    """Words covered by an n-word window that occurs twice or more, counted once each."""
+    return let(packed_windows(w, n), lambda p: let(twins(p), lambda t: _repeated(w, t, n)))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def _count(text: Column, of: str) -> Column:
+    return F.length(F.regexp_replace(text, f"[^{of}]+", "")).cast("bigint")
+
+
+#: Statistics of a text and its words. Those of lines come together.
+STATISTICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("bigint"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("bigint"),
+    "n_symbols": lambda t, w: _count(t, SYMBOLS),
+    "lines": lambda t, w: let(_lines(t), lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("again"))),
+    "n_repeat_words": lambda t, w: repeated_words(w),
+}
 
 
 def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add the struct column ``stats`` to ``documents``.
+    """``documents`` with the struct column ``stats``.
 
     Fields: n_words, word_chars (code points in words), n_symbols, n_dup_lines
     (lines with a word that equal an earlier line), n_lines (lines with a word),
-    n_repeat_words, n_exclaim, n_upper, n_letters (A-Z and a-z). A null text
-    counts as an empty one; every statistic is then 0.
+    n_repeat_words. A null text counts as an empty one; every statistic is then 0.
+    A column ``stats`` of ``documents`` gives way.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    keep = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
-    step = documents.select(keep, t.alias("text"), words_of(F.col(text)).alias("words"))
-    step = step.select(
-        "row", "text", "words", packed_windows("words").alias("windows"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
-        F.array_join("words", "").alias("joined"),
-    )
-    step = step.select("row", "text", "words", "lines", "joined", twins("windows").alias("hits"))
-    only = lambda keep_class: F.length(F.regexp_replace("text", f"[^{keep_class}]+", "")).cast("bigint")
-    step = step.select(
-        "row",
-        F.struct(
-            F.size("words").cast("bigint").alias("n_words"),
-            F.length("joined").cast("bigint").alias("word_chars"),
-            only("#*$%&|<>").alias("n_symbols"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-            F.size("lines").cast("bigint").alias("n_lines"),
-            repeated_words("words", "hits").alias("n_repeat_words"),
-            F.col("text").alias("text"),
-        ).alias("stats"),
-    )
+    return _with_statistics(documents, text).select(*unpacked(documents.columns, "stats"))
+
+
+def _with_words(documents: DataFrame, text: str) -> DataFrame:
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return documents.select(packed(documents), t.alias("text"), words_of(F.col(f"`{text}`")).alias("words"))
+
+
+def _with_statistics(documents: DataFrame, text: str) -> DataFrame:
+    """(row, text, stats)"""
+    t, w = F.col("text"), F.col("words")
+    found = _with_words(documents, text).select("row", "text", *[f(t, w).alias(k) for k, f in STATISTICS.items()])
+    named = F.struct("n_words", "word_chars", "n_symbols", F.col("lines.again").alias("n_dup_lines"), F.col("lines.n").alias("n_lines"), "n_repeat_words").alias("stats")
     # a generator, because a later filter on the statistics would else be pushed
     # through the projections and compute them again for each of its terms
-    return step.select("row.*", F.explode(F.array("stats")).alias("stats"))
+    return found.select("row", "text", named).select("row", "text", F.explode(F.array("stats")).alias("stats"))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where ``reject`` holds."""
+    """A document is rejected where ``reject`` holds; given are a function that
+    yields a statistic by name and the text."""
 
     name: str
-    reject: Column
+    reject: Callable[[Callable[[str], Column], Column], Column]
+
 
+#: A document that one of these rejects fails the base.
+BASE = [
+    Rule("few_words", lambda f, t: f("n_words") < 50),
+    Rule("repeated_words", lambda f, t: F.lit(100) * f("n_repeat_words") > F.lit(50) * f("n_words")),
+]
 
-def base_failed(s: str = "stats") -> Column:
-    f = lambda n: F.col(f"{s}.{n}")
-    return (f("n_words") < 50) | (F.lit(100) * f("n_repeat_words") > F.lit(50) * f("n_words"))
 
+def base_failed(f: Callable[[str], Column]) -> Column:
+    out = F.lit(False)
+    for r in BASE:
+        out = out | r.reject(f, F.lit(""))
+    return out
 
-def default_rules(s: str = "stats") -> list[Rule]:
+
+def default_rules() -> list[Rule]:
     """Heuristics on symbols, duplicate lines, word lengths, shouting and
-    table rows. All bounds are parameters of the rules, fixed here."""
-    f = lambda n: F.col(f"{s}.{n}")
-    count = lambda cls: F.length(F.regexp_replace(f("text"), f"[^{cls}]+", ""))
+    capitals. All bounds are parameters of the rules, fixed here."""
     return [
-        Rule("symbols", F.lit(100) * f("n_symbols") > F.lit(10) * f("n_words")),
-        Rule("duplicate_lines", F.lit(100) * f("n_dup_lines") > F.lit(50) * f("n_lines")),
-        Rule("word_length", (f("word_chars") < F.lit(2) * f("n_words")) | (f("word_chars") > F.lit(15) * f("n_words"))),
-        Rule("exclamations", F.lit(100) * count("!") > F.lit(30) * f("n_words")),
-        Rule("capitals", F.lit(100) * count("A-Z") > F.lit(50) * count("A-Za-z")),
+        Rule("symbols", lambda f, t: F.lit(100) * f("n_symbols") > F.lit(10) * f("n_words")),
+        Rule("duplicate_lines", lambda f, t: let(f("lines"), lambda x: F.lit(100) * x["again"] > F.lit(50) * x["n"])),
+        Rule("word_length", lambda f, t: let(f("word_chars"), lambda c: (c < F.lit(2) * f("n_words")) | (c > F.lit(15) * f("n_words")))),
+        Rule("exclamations", lambda f, t: F.lit(100) * _count(t, "!") > F.lit(30) * f("n_words")),
+        Rule("capitals", lambda f, t: F.lit(100) * _count(t, "A-Z") > F.lit(50) * _count(t, "A-Za-z")),
     ]
 
 
-def order_rules(sample: DataFrame, rules: list[Rule], rounds: int = 2) -> list[tuple[Rule, float, float]]:
-    """(rule, rejected share, seconds) by falling rejection per second on ``sample``.
+def _from_words(name: str) -> Column:
+    """A statistic computed where a rule needs it."""
+    return STATISTICS[name](F.col("text"), F.col("words"))
+
+
+def _from_stats(name: str) -> Column:
+    if name == "lines":
+        return F.struct(F.col("stats.n_lines").alias("n"), F.col("stats.n_dup_lines").alias("again"))
+    return F.col(f"stats.{name}")
 
-    The order changes only the time a verdict takes, never the verdict.
+
+def order_rules(sample: DataFrame, rules: list[Rule], given: Callable[[str], Column], rounds: int = 2) -> list[tuple[Rule, float, float]]:
+    """(rule, share rejected of what the rules before it keep, seconds), by falling
+    rejection per second on ``sample``.
+
+    A rule's seconds are those of all it computes, without what any job takes. The
+    order changes only the time a verdict takes, never the verdict.
     """
-    n = max(1, sample.count())
-    found = []
-    for rule in rules:
-        best, rejected = float("inf"), 0
+    text = F.col("text")
+
+    def seconds(c: Column) -> float:
+        best = float("inf")
         for _ in range(rounds):
             began = time.perf_counter()
-            rejected = sample.agg(F.count_if(rule.reject)).head()[0]
+            sample.agg(F.count_if(c)).head()
             best = min(best, time.perf_counter() - began)
-        found.append((rule, rejected / n, best))
-    return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-6), x[0].name))
-
-
-def cascade(rules: list[Rule]) -> Column:
+        return best
+
+    idle = seconds(F.length("text") < 0)
+    cost = {r.name: max(seconds(r.reject(given, text)) - idle, 1e-4) for r in rules}
+    left = sample.select(*[r.reject(given, text).alias(f"r{i}") for i, r in enumerate(rules)]).collect()  # the sample's rows
+    hits = {r.name: [bool(row[i]) for row in left] for i, r in enumerate(rules)}
+    open_, out, rest = list(range(len(left))), [], list(rules)
+    while rest:
+        share = {r.name: sum(hits[r.name][i] for i in open_) / max(1, len(open_)) for r in rest}
+        best = min(rest, key=lambda r: (-share[r.name] / cost[r.name], cost[r.name], r.name))
+        out.append((best, share[best.name], cost[best.name]))
+        open_ = [i for i in open_ if not hits[best.name][i]]
+        rest.remove(best)
+    return out
+
+
+def cascade(rules: list[Rule], given: Callable[[str], Column]) -> Column:
     """First rule that rejects, else null; later rules are not evaluated."""
     chain = None
     for rule in rules:
-        chain = F.when(rule.reject, rule.name) if chain is None else chain.when(rule.reject, rule.name)
+        reject = rule.reject(given, F.col("text"))
+        chain = F.when(reject, rule.name) if chain is None else chain.when(reject, rule.name)
     return F.lit(None).cast("string") if chain is None else chain
 
 
-def quality_rules(documents: DataFrame, text: str = "text", sample_rows: int = 1000) -> DataFrame:
-    """``documents`` with ``stats``, ``base_failed``, ``rejected_by`` and ``kept``.
+#: Rows of the sample that orders the rules, and bytes of its longest text.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 65_536
 
-    The cascade is ordered on the first ``sample_rows`` rows at most; that bound
-    only serves the order of evaluation. Null text: statistics of an empty text,
-    so it fails the base rule. Rows are judged one by one: repeated rows get the
-    same verdict, an empty table gives an empty result. Columns of ``documents``
-    of any name are kept; ones named like an added column must be renamed first.
-    """
-    rules = default_rules()
-    # taken partition by partition until there are enough, not from all of them
-    head = documents.sparkSession.createDataFrame(documents.select(F.col(text).alias("text")).limit(sample_rows).toArrow(), "text string")
-    few = text_statistics(head).select("stats").cache()
+
+def _sample(documents: DataFrame, text: str, rows: int) -> DataFrame:
+    """Up to ``rows`` texts of bounded size, taken partition by partition until there
+    are enough; they serve the order of evaluation and nothing else."""
+    t = documents.select(F.col(f"`{text}`").alias("text"))
+    few = t.filter((F.octet_length("text") <= SAMPLE_BYTES) | F.col("text").isNull()).take(rows)
+    return documents.sparkSession.createDataFrame([(r[0],) for r in few], "text string")
+
+
+def _ordered(sample: DataFrame, rules: list[Rule], given: Callable[[str], Column]) -> list[Rule]:
+    few = sample.cache()
     try:
-        ordered = [r for r, _, _ in order_rules(few, rules)]
+        return [r for r, _, _ in order_rules(few, rules, given)]
     finally:
         few.unpersist()
-    judged = text_statistics(documents, text)
-    keep = [F.col(f"`{c}`") for c in documents.columns]
-    judged = judged.select(*keep, "stats", base_failed().alias("base_failed"))
-    judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(ordered)))
+
+
+def quality_rules(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``documents`` with ``stats``, ``base_failed``, ``rejected_by`` and ``kept``.
+
+    All statistics are results here, so the cascade saves only what rules compute
+    beyond them; ``stage_quality`` computes each where a rule needs it. The cascade
+    is ordered on ``sample_rows`` rows at most, none with a text over 64 KB; that only
+    serves the order of evaluation. Null text: statistics of an empty text, so it
+    fails the base rule. Rows are judged one by one: repeated rows get the same
+    verdict, an empty table gives an empty result. Other columns stay as they are;
+    one with the name of an added column gives way to it.
+    """
+    ordered = _ordered(_with_statistics(_sample(documents, text, sample_rows), "text"), default_rules(), _from_stats)
+    judged = _with_statistics(documents, text).select("row", "text", "stats", base_failed(_from_stats).alias("base_failed"))
+    judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(ordered, _from_stats)))
     judged = judged.withColumn("kept", F.col("rejected_by").isNull())
-    return judged.withColumn("stats", F.col("stats").dropFields("text"))
+    return judged.select(*unpacked(documents.columns, "stats", "base_failed", "rejected_by", "kept"))
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -206,8 +269,16 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep, in the columns of ``docs``."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Pipeline stage: documents that no rule rejects, in the columns of ``docs``.
+
+    One cascade of the base and the other rules; each statistic is computed when a
+    rule is reached that needs it, so a document pays up to its rejection."""
+    rules = [*BASE, *default_rules()]
+    ordered = _ordered(_with_words(_sample(docs, "text", SAMPLE_ROWS), "text"), rules, _from_words)
+    # the generator keeps the filter from computing the cascade twice
+    verdict = F.explode(F.array(cascade(ordered, _from_words))).alias("rejected_by")
+    judged = _with_words(docs, "text").select("row", verdict)
+    return judged.filter("rejected_by IS NULL").select(*replaced(docs.columns))
 
 
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

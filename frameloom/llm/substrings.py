@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .rows import packed, replaced, unpacked
+from .rows import packed, replaced, unpacked, with_field
 from .storage import discard, materialize, shard_count
 from .words import Words, grams, mix, slices, stream
 
@@ -305,8 +305,7 @@ def _cut(documents: DataFrame, window: int, doc_id: str, text: str) -> DataFrame
     schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_words", "binary").add("kept_text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_text = (pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), [text]), b.column(1)], names=["row", "text", "gone"]) for b in batches)
-        for part, texts in slices(with_text, "text"):
+        for part, texts in slices(with_field(batches, text), "text"):
             w = Words(texts)
             words, removed, kept, cut = [], [], [], []
             for i, g in enumerate(part.column(2).to_pylist()):

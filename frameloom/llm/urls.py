@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rows import packed, unpacked
+
 #: (key, action, category, day): the list that the query applies.
 ENTRIES = [
     ("spam-farm.example.org", "block", "spam", "2024-01-01"),
@@ -73,15 +75,15 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     entry, a null url or day, or a url without host: not blocked. Work is done
     once per distinct (site prefix, day), so a hot host costs one row each day; the list
     is broadcast only where its size stays below Spark's threshold. Repeated
-    captures keep their rows, extra columns stay, empty tables give none.
+    captures keep their rows, extra columns stay (one with the name of an added column
+    gives way to it), empty tables give none.
     """
     spans = validity_intervals(entries)
     depth = F.size(F.split("key", "/")) - 1
     deepest = entries.agg(F.max(depth)).head()[0] or 0
     # deeper segments than any key has cannot match
     head = F.slice(F.array_remove(F.split(path_of(F.col(url)), "/"), ""), 1, deepest) if deepest else F.array().cast("array<string>")
-    row = F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row")
-    c = captures.select(row, host_of(F.col(url)).alias("host"), F.concat(F.lit("/"), F.concat_ws("/", head)).alias("path"), F.col(fetched).cast("date").alias("day"))
+    c = captures.select(packed(captures), host_of(F.col(url)).alias("host"), F.concat(F.lit("/"), F.concat_ws("/", head)).alias("path"), F.col(fetched).cast("date").alias("day"))
     c = c.select("row", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("/")).alias("path"), "day")
     sites = c.select("host", "path", "day").distinct()
     keys = sites.select("host", "path", "day", F.explode(site_keys(F.col("host"), F.col("path"), deepest)).alias("key"))
@@ -89,7 +91,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     best = F.max(F.struct(F.length("key").alias("n"), "valid_from", "action", "key", "category")).alias("e")
     verdict = hit.groupBy("host", "path", "day").agg(best)
     out = c.join(verdict, ["host", "path", "day"], "left")
-    return out.select("row.*", "host", F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"), "e.action", "e.category", F.col("e.key").alias("matched_key"))
+    out = out.select("row", "host", F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"), "e.action", "e.category", F.col("e.key").alias("matched_key"))
+    return out.select(*unpacked(captures.columns, "host", "blocked", "action", "category", "matched_key"))
 
 
 def entry_table(spark: SparkSession, entries=ENTRIES) -> DataFrame:

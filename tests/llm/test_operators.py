@@ -335,6 +335,32 @@ def test_lines(spark, docs, rows, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_columns_of_added_names_give_way(spark):
+    """Names of added columns, of inner ones, and ones that need quoting."""
+    names = ["stats", "kept", "base_failed", "n_lines", "n_words", "kept_text", "host", "token_ids", "text2", "row", "key", "a.b", "words", "lines", "gone", "node", "Out"]
+    d = spark.createDataFrame([(i, t, "http://a.org/x", *["own"] * len(names)) for i, t in [(1, "a b\nc d"), (2, "a b\nc d"), (None, None)]], ["doc_id", "text", "url", *names])
+    e = spark.createDataFrame([("a.org", "block", "x", "2024-01-01")], "key string, action string, category string, day string")
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    outs = [quality.quality_rules(d), lines.dedup_lines(d, 1, 1), substrings.remove_repeats(d, 2), urls.url_filter(d.withColumn("fetched", d.row), e), bpe.encode_documents(d, path), bpe.decode_documents(bpe.encode_documents(d, path), path, out="kept")]
+    added = [{"stats", "kept", "base_failed"}, {"n_lines", "kept_text"}, {"n_words", "kept_text"}, {"host"}, {"token_ids"}, {"token_ids", "kept"}]
+    for out, new in zip(outs[:3] + outs[4:], added[:3] + added[4:], strict=True):
+        assert len(set(out.columns)) == len(out.columns)
+        got = out.collect()
+        assert len(got) == 3
+        assert all(r[n] == "own" for r in got for n in names if n not in new)
+    for stage in (quality.stage_quality, lines.stage_lines, substrings.stage_substrings, minhash.stage_near_duplicates):
+        out = stage(spark, d, "")
+        assert out.columns == d.columns
+        assert all(r["a.b"] == "own" and r["kept"] == "own" for r in out.collect())
+    assert packing.pack(d, P.path("byte_bpe_50k.json")).count() == 3
+
+
+def test_stage_and_operator_judge_alike(spark, docs):
+    kept = quality.quality_rules(docs.drop("row")).filter("kept")
+    again = quality.stage_quality(spark, docs, "")
+    assert sorted(str(r.key) for r in again.collect()) == sorted(str(r.key) for r in kept.collect())
+
+
 def test_lines_that_share_only_a_fingerprint(spark):
     rows = [(1, "x\na\nb\ny"), (2, "z\na\nb\nc"), (3, "z\na\nb\nc"), (4, "q\nq\nq\nq\nq")]
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
