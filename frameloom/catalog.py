@@ -7,6 +7,7 @@ repeated put gives the same state.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import boxes as B
 from frameloom.operators import crops as C
+from frameloom.operators.joins import frames_in
 from frameloom.operators.slicing import time_filter
 from frameloom.schema import BACKGROUND, CLIP, LABEL
 
@@ -152,9 +154,19 @@ class ClipStore:
         all_ = span.join(boxes, ["stream_id", "run"], "left").join(shape, "stream_id")
         all_ = all_.withColumn("first_batch", F.col("_a")).withColumn("last_batch", F.col("_b")).drop("_a", "_b")
         clip, label, background = clip_headers(all_, size)
-        self._replace("frames", frames.withColumnRenamed("stream_id", "video_name"))
-        for name, df in (("clip", clip.withColumn("video_ref", F.lit(self._path("frames")))), ("label", label), ("background", background)):
+        tables = {"frames": frames.withColumnRenamed("stream_id", "video_name"), "clip": clip.withColumn("video_ref", F.lit(self._path("frames"))), "label": label, "background": background}
+        videos = frames.select(F.col("stream_id").alias("video_name")).distinct()
+        for name, df in tables.items():
             self._replace(name, df)
+            self._empty(name, videos.join(df.select("video_name").distinct(), "video_name", "left_anti"))
+
+    def _empty(self, name: str, videos: DataFrame) -> None:
+        """Delete the partitions of videos that have no rows any more."""
+        fs, jvm = None, self.spark.sparkContext._jvm
+        for (video,) in videos.toLocalIterator():  # names only, a partition at a time
+            path = jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/video_name={video}")
+            fs = fs or path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            fs.delete(path, True)
 
     def get(self, name: str | None, condition: Condition | None = None) -> DataFrame:
         """Frames of the matching clips of a video (None: of all): clip_id, the
@@ -167,8 +179,8 @@ class ClipStore:
         frames = self.table("frames").drop("origin")
         if condition.sampling < 1:
             frames = frames.filter(F.col("frame") % int(1 / condition.sampling) == 0)
-        inside = (F.col("frame") >= F.col("start_time")) & (F.col("frame") < F.col("end_time"))
-        out = frames.join(chosen, "video_name").filter(inside).withColumnRenamed("video_name", "stream_id")
+        chosen = chosen.withColumn("_last", F.col("end_time") - 1)
+        out = frames_in(frames, chosen, "video_name", "start_time", "_last").drop("_last").withColumnRenamed("video_name", "stream_id")
         if condition.resolution != 1.0:
             from frameloom.operators.maps import resize
 
@@ -201,17 +213,64 @@ class ClipStore:
         if (df := self.cached.pop((name, repr(condition)), None)) is not None:
             df.unpersist()
 
-    def set_quality(self, name: str, scale: float) -> None:
-        """Rescale a video's pixels and clip geometry."""
-        from frameloom.operators.maps import resize
-
-        scaled = resize(self.table("frames").filter(F.col("video_name") == name), scale)
+    def set_quality(self, name: str, scale: float = 1.0, condition: Condition | None = None, quantum: int = 1, inplace: bool = True) -> DataFrame:
+        """Frames of a video's matching clips with pixels and clip geometry rescaled
+        and colours quantised in steps of ``quantum``. In place (without a condition only, as
+        clips share frames) they replace the video's tables; else the store stays."""
+        from frameloom.operators.maps import color_quant, resize
+
+        if inplace and condition is not None:
+            raise ValueError("clips share their frames: a condition needs inplace=False")
+        frames = self.table("frames").filter(F.col("video_name") == name) if inplace else self.get(name, condition)
+        scaled = resize(frames, scale) if scale != 1.0 else frames
+        scaled = color_quant(scaled, quantum) if quantum > 1 else scaled
+        if not inplace:
+            return scaled
         clips = self.table("clip").filter(F.col("video_name") == name)
         clips = clips.withColumns({c: (F.col(c) * scale).cast("int") for c in ("origin_x", "origin_y", "height", "width")})
         for table, df in (("frames", scaled), ("clip", clips)):
-            part = f"{self.root}/_rewrite/{table}"
-            df.write.mode("overwrite").parquet(part)
-            self._replace(table, self.spark.read.parquet(part))
+            self._rewrite(table, df)
+        return self.table("frames").filter(F.col("video_name") == name)
+
+    def _rewrite(self, table: str, df: DataFrame) -> None:
+        """Replace partitions by rows read from them, through a folder of this call's own."""
+        part = f"{self.root}/_rewrite/{table}-{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        self._replace(table, self.spark.read.schema(df.schema).parquet(part))
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def insert(self, name: str, rows: DataFrame) -> None:
+        """Add rows to the table clip, label or background; equal ones stay once."""
+        old = self.table(name)
+        rows = rows.select(*old.columns)
+        self._rewrite(name, old.join(rows.select("video_name").distinct(), "video_name", "left_semi").unionByName(rows).dropDuplicates([c for c in old.columns if c != "translation"]))
+
+    def update(self, name: str, where: Column, values: dict[str, Column]) -> None:
+        """Set columns of the rows where ``where`` holds; the rest stays as it is."""
+        if "video_name" in values:
+            raise ValueError("a row's video is its place; delete and insert instead")
+        old = self.table(name)
+        touched = old.join(old.filter(where).select("video_name").distinct(), "video_name", "left_semi")
+        self._rewrite(name, touched.withColumns({c: F.when(where, v).otherwise(F.col(c)).cast(old.schema[c].dataType) for c, v in values.items()}))
+
+    def remove(self, name: str, where: Column) -> None:
+        """Delete the rows of a table where ``where`` holds."""
+        old = self.table(name)
+        videos = old.filter(where).select("video_name").distinct().cache()
+        left = old.join(videos, "video_name", "left_semi").filter(~F.coalesce(where, F.lit(False)))
+        gone = videos.join(left.select("video_name").distinct(), "video_name", "left_anti").cache()
+        gone.count()
+        self._rewrite(name, left)
+        self._empty(name, gone)
+        videos.unpersist()
+        gone.unpersist()
+
+    def everything(self) -> DataFrame:
+        """Clips with their labels and backgrounds."""
+        keys = ["clip_id", "video_name"]
+        labels = self.table("label").groupBy(*keys).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+        return self.table("clip").join(labels, keys, "left").join(self.table("background"), keys, "left")
 
     def query_clip(self, clip_id: int, name: str) -> DataFrame:
         return self.table("clip").filter((F.col("clip_id") == clip_id) & (F.col("video_name") == name))

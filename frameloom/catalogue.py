@@ -370,9 +370,9 @@ def background_link(spark, d):
     return front.join(back, ["video_name", "background_id"]).select("background_id", "clip_id", "video_name")
 
 
-@query(f"WITH {CLIPS}, k AS (SELECT * FROM c WHERE clip_id % 4 <> 2), x AS (SELECT *, coalesce(abs(start_time - lag(end_time) OVER w) > 5, true) AS far FROM k WINDOW w AS (PARTITION BY video_name ORDER BY start_time, clip_id)) SELECT video_name, clip_id, CAST(sum(CAST(far AS INTEGER)) OVER (PARTITION BY video_name ORDER BY start_time, clip_id) AS BIGINT) AS chain FROM x")
+@query(f"WITH {CLIPS}, k AS (SELECT * FROM c), x AS (SELECT *, coalesce(abs(start_time - lag(end_time) OVER w) > 5, true) AS far FROM k WINDOW w AS (PARTITION BY video_name ORDER BY start_time, clip_id)) SELECT video_name, clip_id, CAST(sum(CAST(far AS INTEGER)) OVER (PARTITION BY video_name ORDER BY start_time, clip_id) AS BIGINT) AS chain FROM x")
 def contiguity(spark, d):
-    return K.contiguity(clips(spark, d).filter("clip_id % 4 <> 2")).select("video_name", "clip_id", "chain")
+    return K.contiguity(clips(spark, d)).select("video_name", "clip_id", "chain")
 
 
 @query(f"WITH {FRAMES}, n AS (SELECT stream_id, frame AS note_frame, min(label) AS note FROM f WHERE label = 'purchase' OR frame % 10 = 3 GROUP BY ALL) SELECT f.stream_id, f.frame, n.note_frame, n.note FROM f ASOF LEFT JOIN n ON f.stream_id = n.stream_id AND f.frame <= n.note_frame")
@@ -385,10 +385,10 @@ def asof_label(spark, d):
 _COS = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
 
 
-@query(f"SELECT a.label, a.vec_id AS left_id, b.vec_id AS right_id, round({_COS}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.5")
+@query(f"SELECT a.label, a.vec_id AS left_id, b.vec_id AS right_id, round({_COS}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.4")
 def similarity_join(spark, d):
     e = table(spark, d, "embeddings")
-    j = J.similarity_join(e, e, "label", "embedding", 0.5, "vec_id", "vec_id")
+    j = J.similarity_join(e, e, "label", "embedding", 0.4, "vec_id", "vec_id")
     return j.filter("left_id < right_id").withColumn("cosine", F.round("cosine", 4))
 
 
@@ -398,7 +398,7 @@ def descriptor_match(spark, d):
     return J.descriptor_match(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), "label", 1.1, 0.3).withColumn("share", F.round("share", 6))
 
 
-@query(f"WITH t AS (SELECT label, vec_id % 3 AS frame, vec_id // 3 % 7 AS tile, embedding FROM embeddings WHERE vec_id < 420), p AS (SELECT a.label, a.frame AS fa, b.frame AS fb, avg({_COS}) AS m FROM t a JOIN t b ON a.label = b.label AND a.tile = b.tile AND a.frame < 2 AND b.frame = 2 GROUP BY ALL) SELECT label, max(m) >= 0.2 AS match FROM p GROUP BY label")
+@query(f"WITH t AS (SELECT label, vec_id % 3 AS frame, vec_id // 3 % 7 AS tile, embedding FROM embeddings), p AS (SELECT a.label, a.frame AS fa, b.frame AS fb, avg({_COS}) AS m FROM t a JOIN t b ON a.label = b.label AND a.tile = b.tile AND a.frame < 2 AND b.frame = 2 GROUP BY ALL) SELECT label, max(m) >= 0.2 AS match FROM p GROUP BY label")
 def video_match(spark, d):
     e = table(spark, d, "embeddings")
     t = e.select("label", (F.col("vec_id") % 3).alias("frame"), (F.floor(F.col("vec_id") / 3) % 7).alias("tile"), F.col("embedding").alias("feature"))
@@ -526,10 +526,10 @@ def box_voting(spark, d):
     return D.box_voting(a, a, ["frame"], 0.2).select("frame", "det_id", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {DETECTIONS}, g AS (SELECT DISTINCT stream_id FROM d), u AS (SELECT stream_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM d WHERE label = 'A' AND score > 0.09 AND frame < 2000 GROUP BY ALL) SELECT stream_id, coalesce(x0, 0) AS x0, coalesce(y0, 0) AS y0, coalesce(x1, 1) AS x1, coalesce(y1, 1) AS y1 FROM g LEFT JOIN u USING (stream_id)")
+@query(f"WITH {DETECTIONS}, g AS (SELECT DISTINCT stream_id FROM d), u AS (SELECT stream_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM d WHERE label = 'A' AND score > 0.09 GROUP BY ALL) SELECT stream_id, coalesce(x0, 0) AS x0, coalesce(y0, 0) AS y0, coalesce(x1, 1) AS x1, coalesce(y1, 1) AS y1 FROM g LEFT JOIN u USING (stream_id)")
 def coverage_box(spark, d):
     det = detections(spark, d)
-    return D.coverage_box(det.filter("label = 'A' AND score > 0.09 AND frame < 2000"), det.select("stream_id").distinct(), ["stream_id"])
+    return D.coverage_box(det.filter("label = 'A' AND score > 0.09"), det.select("stream_id").distinct(), ["stream_id"])
 
 
 @query(f"WITH {DETECTIONS} SELECT label, CAST(sum(CASE WHEN score > 0.08 THEN 0.0 WHEN idx = 1 THEN 0.5 ELSE 1.0 END) AS DOUBLE) AS n_truth, count(DISTINCT frame) AS n_images FROM d GROUP BY label")

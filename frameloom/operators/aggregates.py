@@ -84,10 +84,22 @@ def buffer_reduce(frames: DataFrame, size: int, aggregates: dict[str, Column], r
 
 
 def buffer_map(frames: DataFrame, schema: str, function, size: int = 64) -> DataFrame:
-    """``function`` (pandas to pandas) over Arrow batches; ``size`` is the batch
-    size to set in spark.sql.execution.arrow.maxRecordsPerBatch, results don't depend on it."""
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
-    return frames.mapInPandas(lambda it: map(function, it), schema)
+    """``function`` (pandas to pandas) over buffers of up to ``size`` rows; the
+    session's batch size stays as it is, and results don't depend on either."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), size):
+                yield function(b.iloc[at : at + size])
+
+    return frames.mapInPandas(run, schema)
+
+
+def buffer_merge(frames: DataFrame, schema: str, function, size: int = 64, sampling: float = 1.0, key: tuple[str, ...] = ("stream_id", "frame")) -> DataFrame:
+    """``frames`` with what ``buffer_map`` makes of every int(1/sampling)-th frame,
+    merged by ``key``; frames in between keep nulls. ``function`` returns the key too."""
+    used = frames.filter(F.col("frame") % int(1 / sampling) == 0)
+    return frames.join(buffer_map(used, schema, function, size), list(key), "left")
 
 
 def label_union(detections: DataFrame, size: int) -> DataFrame:

@@ -13,21 +13,30 @@ from pyspark.sql import DataFrame
 
 
 def fold_groups(df: DataFrame, by: list[str], order: list, schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``step`` on each group (null keys are keys too), sorted by ``order``."""
+    """``step`` on each group (null keys are keys too), sorted by ``order``.
+
+    A group is in memory whole, as its step needs it; batches join once it ends."""
     columns = [c.strip().split()[0] for c in schema.split(",")]
 
     def key_of(p: pd.DataFrame) -> pd.Series:
-        return p[by].ne(p[by].shift()).any(axis=1) & ~(p[by].isna() & p[by].shift().isna()).all(axis=1)
+        before = p[by].shift()
+        return (p[by].ne(before) & ~(p[by].isna() & before.isna())).any(axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for b in batches:
             if not len(b):
                 continue
-            p = pd.concat([*held, b], ignore_index=True) if held else b.reset_index(drop=True)
-            starts = key_of(p).to_numpy().nonzero()[0].tolist()
-            starts = [0, *[s for s in starts if s]]
-            done = [step(p.iloc[x:y]) for x, y in zip(starts, starts[1:])]  # noqa: B905
+            # the last row held shows whether the batch goes on with its group
+            p = pd.concat([held[-1].iloc[-1:], b], ignore_index=True) if held else b.reset_index(drop=True)
+            starts = [s for s in key_of(p).to_numpy().nonzero()[0].tolist() if s]
+            if held:
+                p, starts = p.iloc[1:], [s - 1 for s in starts]
+            if not starts:
+                held.append(p)
+                continue
+            first = pd.concat([*held, p.iloc[: starts[0]]], ignore_index=True)
+            done = [step(x) for x in (first, *(p.iloc[x:y] for x, y in zip(starts, starts[1:]))) if len(x)]  # noqa: B905
             if done:
                 yield pd.concat(done, ignore_index=True)[columns]
             held = [p.iloc[starts[-1] :]]

@@ -55,6 +55,8 @@ def tiered_get(detections: DataFrame, headers: DataFrame, predicate: Column, siz
     from frameloom.operators.aggregates import headers as header_of
 
     chosen = headers.filter(predicate).select("stream_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    d = detections.join(chosen, "stream_id").filter((F.col("frame") >= F.col("_s")) & (F.col("frame") <= F.col("_e")))
+    from frameloom.operators.joins import frames_in
+
+    d = frames_in(detections, chosen, "stream_id", "_s", "_e", size)
     d = d.withColumn("clip", F.floor((F.col("frame") - F.col("_s")) / size)).withColumn("segment", F.col("_s"))
     return header_of(d, "stream_id", "segment", "clip").filter(predicate).orderBy("stream_id", "start")

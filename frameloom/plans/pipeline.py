@@ -76,7 +76,7 @@ def validate(p: Pipeline) -> None:
     for o in p.ops:
         if o.name == "metric":
             known.add(o.args["name"])
-        if o.name == "filter" and o.args["metric"] not in known and any(x.name == "metric" for x in p.ops):
+        if o.name == "filter" and o.args["metric"] not in known:
             raise ValueError(f"filter on {o.args['metric']!r}, which no earlier metric defines")
 
 
