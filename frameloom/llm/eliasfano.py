@@ -71,8 +71,9 @@ class EliasFano:
         self.low, self.high.words, self.high.before = arrays
 
 
-class BigramTrie:
-    """Contexts, pointers and successors, each a monotone sequence.
+class TrieLevel:
+    """One level of an n-gram trie: contexts (nodes of the level above, by number),
+    pointers and successors, each a monotone sequence.
 
     The successors of a context are stored on top of the last value of the one
     before, so all of them rise; a query adds the same base and searches within
@@ -84,12 +85,12 @@ class BigramTrie:
         head = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
         self.contexts = EliasFano(context[head])
         self.pointers = EliasFano(np.append(head, len(context)))
-        last = np.append(head[1:], len(context)) - 1
+        last = np.append(head[1:], len(context))[: len(head)] - 1
         base = np.concatenate([[0], np.cumsum(word[last].astype(np.uint64))])[: len(head)].astype(np.uint64)
         self.successors = EliasFano(word.astype(np.uint64) + np.repeat(base, np.diff(np.append(head, len(context)))))
         self.code = code.astype(np.uint16)
 
-    def memory_mapped(self) -> BigramTrie:
+    def memory_mapped(self) -> TrieLevel:
         """Move the levels into one mapped file that has no name left."""
         parts = [*self.contexts.arrays(), *self.pointers.arrays(), *self.successors.arrays(), self.code]
         sizes = [-(-max(p.nbytes, 1) // 8) * 8 for p in parts]
@@ -109,7 +110,7 @@ class BigramTrie:
         return self
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the bigrams; -1 where there is none."""
+        """Codes of the n-grams; -1 where there is none."""
         out = np.full(len(context), -1, np.int64)
         n = self.contexts.n
         if not n or not len(context):

@@ -1,9 +1,11 @@
-"""LM scoring: a smoothed bigram model in Elias-Fano tries, one per shard.
-
-Texts become chunks of local word numbers. A first exchange by word gives each
-chunk global word numbers and training counts; a second one by bigram brings all
-occurrences of a bigram to the shard that counts it, builds the trie and scores
-them. Only packed arrays move, and what moves grows with the corpus.
+"""LM scoring: a smoothed n-gram model in an Elias-Fano trie, in shards of each level.
+
+Texts become chunks of local word numbers. An exchange by word gives each chunk
+global word numbers and training counts. Then each level of the trie has its own
+exchange: a chunk sends its distinct n-grams once, with their training counts, and
+the shard of their context counts them, builds its part of the level, and answers
+with quantised probabilities, counts, and the numbers of the nodes, which are the
+contexts of the next level. A context that no other chunk has is complete where it is, and its part of the level is built and asked there.
 """
 
 from __future__ import annotations
@@ -17,18 +19,31 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import Numbers
-from .eliasfano import BigramTrie
-from .storage import materialize, shard_count
+from .eliasfano import TrieLevel
+from .storage import discard, materialize, shard_count
 from .words import Words, mix, slices
 
-#: Text of a chunk, codes per unit of log10, weight of the unigrams.
-CHUNK, STEPS, WEIGHT = 12 << 20, 2048, 200.0
-END, START = np.uint64(1), 0
+#: Text of a chunk, and codes per unit of log10.
+CHUNK, STEPS = 12 << 20, 2048
+#: Weight of the lower orders at each level: single words are seen often, pairs are not.
+WEIGHTS = {2: 200.0}
+WEIGHT = 8.0
+END = np.uint64(1)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """Byte planes of whole numbers, compressed."""
+    a = np.ascontiguousarray(a)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
 
-_pack = lambda a: zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).tobytes())
-_unpack = lambda b, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def _unpack(b: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def held_out(doc_id) -> bool:
@@ -36,13 +51,22 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-CHUNKS = "chunk string, shard int, ids {ids}, held binary, sizes binary, tokens binary, local binary, hashes binary, counts binary"
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _arrow(schema: str, **other: pa.DataType) -> pa.Schema:
+    """Arrow's form of a list of columns; ``other`` has the types of some."""
+    names = [f.split()[:2] for f in schema.split(", ")]
+    return pa.schema([(n, other.get(n) or KINDS[k]) for n, k in names])
 
 
 def _rows(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+CHUNKS = "chunk string, shard int, ids {ids}, held binary, sizes binary, tokens binary, order binary, edge binary, hashes binary, counts binary, others binary"
+
+
 def _chunks(shards: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -53,19 +77,16 @@ def _chunks(shards: int, schema: pa.Schema):
             t = np.concatenate(tokens)
             n = np.array(sizes)
             held = np.array([held_out(i) for i in ids])
-            count = np.bincount(t[~np.repeat(held, n)], minlength=len(words) + 1)
+            apart = np.repeat(held, n)
+            count, other = (np.bincount(t[x], minlength=len(words) + 1) for x in (~apart, apart))
             h = np.append(END, Words(list(words)).hashes() if words else np.zeros(0, np.uint64))
             name = f"{part}-{number}"
-            yield _rows(schema, [{"chunk": name, "shard": -1, "ids": ids, "held": held.tobytes(), "sizes": _pack(n.astype(np.uint32)), "tokens": _pack(t.astype(np.uint32))}])
             shard = (mix(h) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            out = []
-            for s in range(shards):
-                own = order[edge[s] : edge[s + 1]]
-                if len(own):
-                    out.append({"chunk": name, "shard": s, "local": _pack(own.astype(np.uint32)), "hashes": h[own].tobytes(), "counts": _pack(count[own].astype(np.uint32))})
-            yield _rows(schema, out)
+            yield _rows(schema, [{"chunk": name, "shard": -1, "ids": ids, "held": held.tobytes(), "sizes": _pack(n.astype(np.uint32)), "tokens": _pack(t.astype(np.uint32)), "order": _pack(order.astype(np.uint32)), "edge": _pack(edge)}])
+            own = [(s, order[edge[s] : edge[s + 1]]) for s in np.flatnonzero(np.diff(edge)).tolist()]
+            yield _rows(schema, [{"chunk": name, "shard": s, "hashes": h[o].tobytes(), "counts": _pack(count[o].astype(np.uint32)), "others": _pack(other[o].astype(np.uint32))} for s, o in own])
             number += 1
             ids, tokens, sizes, words, size = [], [], [], Numbers(), 0
 
@@ -86,7 +107,7 @@ def _chunks(shards: int, schema: pa.Schema):
     return run
 
 
-VOCABULARY = "chunk string, local binary, global binary, totals binary, types long, tokens long"
+VOCABULARY = "chunk string, shard int, name binary, total binary, other binary, types long, tokens long"
 
 
 def _vocabulary(shards: int):
@@ -94,169 +115,274 @@ def _vocabulary(shards: int):
         rows = t.to_pylist()
         shard = rows[0]["shard"]
         h = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        count = np.concatenate([_unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
         _, name = np.unique(np.concatenate(h), return_inverse=True)
-        total = np.bincount(name, weights=count).astype(np.int64)
+        total, other = (np.bincount(name, weights=np.concatenate([_unpack(r[c], np.uint32) for r in rows])).astype(np.int64) for c in ("counts", "others"))
         # numbers from 1; 0 stands for the start of a text
         wide = name * shards + shard + 1
         out, at = [], 0
         for r, x in zip(rows, h, strict=True):
             k = slice(at, at + len(x))
-            out.append({"chunk": r["chunk"], "local": r["local"], "global": _pack(wide[k].astype(np.uint64)), "totals": _pack(total[name[k]].astype(np.uint64)), "types": 0, "tokens": 0})
+            out.append({"chunk": r["chunk"], "shard": shard, "name": _pack(wide[k]), "total": _pack(total[name[k]]), "other": _pack(other[name[k]]), "types": 0, "tokens": 0})
             at += len(x)
         out.append({"chunk": None, "types": int((total > 0).sum()), "tokens": int(total.sum())})
-        return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("local", pa.binary()), ("global", pa.binary()), ("totals", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())]))
+        return pa.Table.from_pylist(out, schema=_arrow(VOCABULARY))
 
     return run
 
 
-PAIRS = "shard int, chunk string, docs int, plain binary, ids {ids}, held binary, context binary, context_n binary, word binary, word_n binary, c binary, w binary, doc binary"
+STATE = "chunk string, held binary, sizes binary, tokens binary, name binary, total binary, other binary"
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Global numbers and training counts of a chunk's words, by local number."""
+    for b in batches:
+        for r in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
+            order, edge = _unpack(r["order"], np.uint32), _unpack(r["edge"], np.int64)
+            name, total, other = np.zeros((3, len(order)), np.int64)
+            for w in r["words"]:
+                at = order[edge[w["shard"]] : edge[w["shard"] + 1]]
+                name[at], total[at], other[at] = (_unpack(w[c], np.int64) for c in ("name", "total", "other"))
+            yield _rows(_arrow(STATE), [{"chunk": r["chunk"], "held": r["held"], "sizes": r["sizes"], "tokens": r["tokens"], "name": _pack(name), "total": _pack(total), "other": _pack(other)}])
+
+
+def codes(n, context_n, lower, weight: float) -> np.ndarray:
+    """Quantised -log10 of (n + weight * lower) / (context + weight); ``lower`` is a code."""
+    p = (n + weight * 10.0 ** (-np.asarray(lower, float) / STEPS)) / (context_n + weight)
+    return np.minimum(65_535, np.rint(-STEPS * np.log10(p))).astype(np.uint16)
+
+
+def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where a pair of a sorted list differs from the one before."""
+    return np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
 
 
-def _pairs(shards: int, n: int, v: int, schema: pa.Schema):
-    """Bigram occurrences of each chunk by shard, and the base score of its documents."""
+class Level:
+    """Distinct n-grams (context, word) with counts in training and in other texts,
+    summed over chunks, and the trie level of those that occur in training."""
+
+    def __init__(self, context, word, train, other, context_n, lower, weight: float):
+        self.weight = weight
+        order = np.lexsort((word, context))
+        new = _changes(context[order], word[order])
+        head = order[np.flatnonzero(new)]
+        self.node = np.empty(len(order), np.int64)  # of each given n-gram
+        self.node[order] = np.cumsum(new) - 1
+        self.n = np.bincount(self.node, weights=train, minlength=len(head)).astype(np.int64)
+        self.other = np.bincount(self.node, weights=other, minlength=len(head)).astype(np.int64)
+        seen = np.flatnonzero(self.n)
+        at = head[seen]
+        self.trie = TrieLevel(context[at], word[at], codes(self.n[seen], context_n[at], lower[at], weight)).memory_mapped()
+
+    def ask(self, context, word, context_n, lower) -> np.ndarray:
+        code = self.trie.find(context, word)
+        return np.where(code >= 0, code, codes(0, context_n, lower, self.weight)).astype(np.uint16)
+
+
+class Chunk:
+    """Tokens of a chunk, and at ``order`` k the distinct n-grams that end in them:
+    ``gram`` by token (-1 near a text's start), their counts, numbers and codes."""
+
+    def __init__(self, r: dict, n: int, v: int):
+        self.t = _unpack(r["tokens"], np.uint32).astype(np.int64)
+        self.sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(self.t)) - np.repeat(self.start, self.sizes)
+        self.train = ~np.repeat(np.frombuffer(r["held"], bool), self.sizes)
+        self.name, self.total = _unpack(r["name"], np.int64), _unpack(r["total"], np.int64)
+        self.order = 1
+        # a text's start is a context as often as its end is a word
+        begin = len(self.name)
+        self.gram = self.t
+        self.own = np.bincount(self.t[self.train], minlength=begin)
+        rest = np.bincount(self.t[~self.train], minlength=begin)
+        self.own, self.own_other = np.append(self.own, self.own[0]), np.append(rest, rest[0])
+        other = _unpack(r["other"], np.int64)
+        self.other = np.append(other, other[0])
+        self.n, self.number = np.append(self.total, self.total[0]), np.append(self.name, 0)
+        self.code = codes(self.total[self.t] + 1.0, n + v + 1.0, 0, 0.0)
+        self.begin = begin
+
+    def step(self) -> None:
+        """The distinct n-grams of the next order: context (an n-gram of this order) and word."""
+        k = self.order = self.order + 1
+        before = np.append(-1, self.gram[:-1])
+        if k == 2:
+            before[self.start] = self.begin
+        valid = np.flatnonzero(self.place >= k - 2)
+        wide = len(self.name)
+        values, first, inverse = np.unique(before[valid] * wide + self.t[valid], return_index=True, return_inverse=True)
+        self.context, self.word = values // wide, values % wide
+        self.gram = np.full(len(self.t), -1)
+        self.gram[valid] = inverse
+        self.context_n = self.n[self.context]
+        self.alone = ((self.n == self.own) & (self.other == self.own_other))[self.context]
+        self.context_number = self.number[self.context]
+        self.lower = self.code[valid[first]]
+        self.own = np.bincount(inverse, weights=self.train[valid], minlength=len(values)).astype(np.int64)
+        self.own_other = np.bincount(inverse, minlength=len(values)) - self.own
+
+    def answered(self, code: np.ndarray, n: np.ndarray, other: np.ndarray, number: np.ndarray) -> None:
+        self.n, self.other, self.number = n, other, number
+        on = self.gram >= 0
+        self.code = self.code.copy()
+        self.code[on] = code[self.gram[on]]
+
+
+SENT = "shard int, chunk string, kept binary, alone binary, own binary, new binary, context binary, context_n binary, word binary, train binary, other binary, lower binary"
+
+
+def _send(k: int, shards: int, n: int, v: int):
+    """Distinct k-grams of each chunk by shard, and what the chunk keeps of them."""
+    schema = _arrow(SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                r = b.slice(k, 1).to_pylist()[0]
-                t = _unpack(r["tokens"], np.uint32)
-                sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
-                held = np.frombuffer(r["held"], bool)
-                known = sum(len(_unpack(w["local"], np.uint32)) for w in r["words"])
-                name, total = np.zeros(known, np.int64), np.zeros(known, np.int64)
-                for w in r["words"]:
-                    at = _unpack(w["local"], np.uint32)
-                    name[at], total[at] = _unpack(w["global"], np.uint64), _unpack(w["totals"], np.uint64)
-                doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-                c = total[t]
-                base = np.add.reduceat(np.log10(c + 1.0), np.cumsum(sizes) - sizes) - sizes * np.log10(n + v + 1.0)
-                kept = np.add.reduceat((c > 0).astype(np.int64), np.cumsum(sizes) - sizes)
-                plain = np.stack([sizes.astype(float), kept.astype(float), base]).tobytes()
-                del c
-                prev = np.append(np.uint32(0), t[:-1])
-                prev[np.cumsum(sizes) - sizes] = 0  # as many starts as ends
-                before, after = name[prev], name[t]
-                before[np.cumsum(sizes) - sizes] = START
-                # a context with a large share of all bigrams has parts, by its words
-                parts = (1 + total * 2 * shards // max(n, 1))[prev]
-                key = before.astype(np.uint64) * np.uint64(1 << 20) + (after % parts).astype(np.uint64)
+            for r in (b.slice(x, 1).to_pylist()[0] for x in range(b.num_rows)):
+                c = Chunk(r, n, v)
+                _replay(c, r.get("answers"), k - 1)
+                c.step()
+                alone, sent = np.flatnonzero(c.alone), np.flatnonzero(~c.alone)
+                name = c.name[c.word]
+                own = Level(c.context[alone], name[alone], c.own[alone], c.own_other[alone], c.context_n[alone], c.lower[alone], WEIGHTS.get(k, WEIGHT))
+                kept = own.ask(c.context[alone], name[alone], c.context_n[alone], c.lower[alone])
+                # a context with a large share of all n-grams has parts, by its words
+                parts = 1 + c.context_n[sent] * 2 * shards // max(n, 1)
+                key = c.context_number[sent].astype(np.uint64) * np.uint64(1 << 20) + (name[sent] % parts).astype(np.uint64)
                 shard = (mix(key) % np.uint64(shards)).astype(np.int32)
-                del parts, key
-                order = np.lexsort((doc, after, before, shard))
+                short = c.code[c.gram < 0]  # tokens too near a text's start
+                out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "kept": _pack(np.append(short, kept)), "alone": np.packbits(c.alone).tobytes(), "own": _pack(shard.astype(np.uint32))}]
+                order = np.argsort(shard, kind="stable")
                 edge = np.searchsorted(shard[order], np.arange(shards + 1))
-                out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "docs": len(sizes), "plain": plain, "ids": r["ids"], "held": held.tobytes()}]
-                for s in range(shards):
-                    own = order[edge[s] : edge[s + 1]]
-                    if not len(own):
-                        continue
-                    cs, i, ci = np.unique(before[own], return_index=True, return_inverse=True)
-                    ws, j, wi = np.unique(after[own], return_index=True, return_inverse=True)
-                    out.append({"shard": s, "chunk": r["chunk"], "docs": len(sizes), "held": r["held"], "context": _pack(cs), "context_n": _pack(total[prev[own[i]]]), "word": _pack(ws), "word_n": _pack(total[t[own[j]]]),
-                                "c": _pack(ci.astype(np.uint32)), "w": _pack(wi.astype(np.uint32)), "doc": _pack(doc[own].astype(np.uint32))})
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    x = sent[order[edge[s] : edge[s + 1]]]
+                    new = np.append(True, c.context[x][1:] != c.context[x][:-1])
+                    out.append({"shard": s, "chunk": r["chunk"], "new": _pack(np.packbits(new)), "context": _pack(c.context_number[x][new]), "context_n": _pack(c.context_n[x][new]), "word": _pack(name[x]), "train": _pack(c.own[x].astype(np.uint32)), "other": _pack(c.own_other[x].astype(np.uint32)), "lower": _pack(c.lower[x])})
                 yield _rows(schema, out)
 
     return run
 
 
-def codes(pair_n, context_n, word_n, n: int, v: int) -> np.ndarray:
-    """Quantised -log10 of (pairs + WEIGHT * unigram) / (context + WEIGHT)."""
-    unigram = (word_n + 1.0) / (n + v + 1.0)
-    p = (pair_n + WEIGHT * unigram) / (context_n + WEIGHT)
-    return np.minimum(65_535, np.rint(-STEPS * np.log10(p))).astype(np.int64)
+ANSWERS = "chunk string, shard int, kept binary, alone binary, own binary, code binary, n binary, other binary, number binary"
 
 
-def _new(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether a pair of a sorted list differs from the one before."""
-    return np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-
-
-def _distinct(r: dict) -> tuple[np.ndarray, ...]:
-    """(context, its count, word, its count, training occurrences) of a chunk's distinct bigrams."""
-    c, w = _unpack(r["c"], np.uint32), _unpack(r["w"], np.uint32)
-    train = ~np.frombuffer(r["held"], bool)[_unpack(r["doc"], np.uint32)]
-    head = np.flatnonzero(_new(c, w))
-    c, w = c[head], w[head]
-    n = np.add.reduceat(train.astype(np.int64), head)
-    return _unpack(r["context"], np.int64)[c], _unpack(r["context_n"], np.int64)[c], _unpack(r["word"], np.int64)[w], _unpack(r["word_n"], np.int64)[w], n
-
+def _answer(k: int, last: bool, shards: int):
+    """Of one shard: its part of the level, asked for each chunk's k-grams."""
 
-def _score(n: int, v: int, ids: str):
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        out = [{"chunk": r["chunk"], "plain": r["plain"], "ids": r["ids"], "held": r["held"], "sums": None} for r in rows if r["plain"] is not None]
-        rows = [r for r in rows if r["plain"] is None]
-        counted = [_distinct(r) for r in rows]  # of one chunk after another
-        if counted:
-            a, an, b, bn, train = (np.concatenate([p[k] for p in counted]) for k in range(5))
-            del counted
-            used = train > 0
-            a, an, b, bn, train = (x[used] for x in (a, an, b, bn, train))
-            order = np.lexsort((b, a))
-            a, an, b, bn, train = (x[order] for x in (a, an, b, bn, train))
-            head = np.flatnonzero(_new(a, b))
-            pair_n = np.add.reduceat(train, head) if len(head) else train
-            trie = BigramTrie(a[head], b[head], codes(pair_n, an[head], bn[head], n, v)).memory_mapped()
-            for r in rows:
-                a, an, b, bn, _ = _distinct(r)
-                code = trie.find(a, b)
-                code = np.where(code >= 0, code, codes(0, an, bn, n, v))
-                c, w = _unpack(r["c"], np.uint32), _unpack(r["w"], np.uint32)
-                code = code[np.cumsum(_new(c, w)) - 1]
-                sums = np.bincount(_unpack(r["doc"], np.uint32), weights=code, minlength=r["docs"]).astype(np.uint64)
-                out.append({"chunk": r["chunk"], "sums": _pack(sums)})
-        return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("plain", pa.binary()), ("ids", pa.list_(_arrow(ids))), ("held", pa.binary()), ("sums", pa.binary())]))
+        shard = rows[0]["shard"]
+        out = [{"chunk": r["chunk"], "shard": -1, "kept": r["kept"], "alone": r["alone"], "own": r["own"]} for r in rows if r["kept"] is not None]
+        asked = []
+        for r in rows:
+            if r["kept"] is None:
+                word = _unpack(r["word"], np.int64)
+                at = np.cumsum(np.unpackbits(_unpack(r["new"], np.uint8), count=len(word))) - 1
+                asked.append((r["chunk"], _unpack(r["context"], np.int64)[at], word, _unpack(r["train"], np.uint32), _unpack(r["other"], np.uint32), _unpack(r["context_n"], np.int64)[at], _unpack(r["lower"], np.uint16)))
+        del rows
+        if asked:
+            level = Level(*(np.concatenate([a[i] for a in asked]) for i in range(1, 7)), WEIGHTS.get(k, WEIGHT))
+            at = 0
+            for chunk, context, word, _, _, context_n, lower in asked:
+                node = level.node[at : at + len(word)]
+                at += len(word)
+                row = {"chunk": chunk, "shard": shard, "code": _pack(level.ask(context, word, context_n, lower))}
+                if not last:
+                    row |= {"n": _pack(level.n[node]), "other": _pack(level.other[node]), "number": _pack(node * shards + shard + 1)}
+                out.append(row)
+        return pa.Table.from_pylist(out, schema=_arrow(ANSWERS))
 
     return run
 
 
-def _gather(n: int, ids: str):
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        top = next(r for r in rows if r["plain"] is not None)
-        size, known, base = np.frombuffer(top["plain"], float).reshape(3, -1)
-        total = np.zeros(len(size), np.int64)
-        for r in rows:
-            if r["sums"] is not None:
-                total += _unpack(r["sums"], np.uint64).astype(np.int64)
-        return pa.table({"doc_id": pa.array(top["ids"], _arrow(ids)), "held_out": pa.array(np.frombuffer(top["held"], bool)), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
-                         "train_tokens": pa.array(np.full(len(size), n), pa.int64()), "base_score": pa.array(base), "score": pa.array(-total / STEPS)})
-
-    return run
+def _replay(c: Chunk, answers: list | None, k: int) -> None:
+    """Bring a chunk from its words to order ``k`` with the shards' answers at k."""
+    while c.order < k:
+        # orders between need no answers but the last: its codes hold all below
+        c.step()
+        if c.order < k:
+            c.n, c.other, c.number = c.own, c.own_other, np.zeros(len(c.own), np.int64)
+    if k < 2:
+        return
+    top = next(a for a in answers if a["kept"] is not None)
+    alone = np.unpackbits(np.frombuffer(top["alone"], np.uint8), count=len(c.own)).view(bool)
+    sent = np.flatnonzero(~alone)
+    own = _unpack(top["own"], np.uint32)
+    order = np.argsort(own, kind="stable")
+    edge = np.searchsorted(own[order], np.arange(max((a["shard"] for a in answers), default=0) + 2))
+    kept = _unpack(top["kept"], np.uint16)
+    short = np.flatnonzero(c.gram < 0)
+    c.code = c.code.copy()
+    c.code[short] = kept[: len(short)]
+    code, n, other, number = np.zeros(len(c.own), np.uint16), c.own.copy(), c.own_other.copy(), np.zeros(len(c.own), np.int64)
+    code[alone] = kept[len(short) :]
+    for a in answers:
+        if a["code"] is not None:
+            x = sent[order[edge[a["shard"]] : edge[a["shard"] + 1]]]
+            code[x] = _unpack(a["code"], np.uint16)
+            if a["n"] is not None:
+                n[x], other[x], number[x] = (_unpack(a[y], np.int64) for y in ("n", "other", "number"))
+    c.answered(code, n, other, number)
+
+
+def _total(order: int, n: int, v: int, schema: pa.Schema):
+    """Sums over each document of the chunks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in (b.slice(x, 1).to_pylist()[0] for x in range(b.num_rows)):
+                c = Chunk(r, n, v)
+                seen = c.total[c.t]
+                base = np.add.reduceat(np.log10(seen + 1.0), c.start) - c.sizes * np.log10(n + v + 1.0)
+                known = np.add.reduceat((seen > 0).astype(np.int64), c.start)
+                _replay(c, r["answers"], order)
+                score = -np.add.reduceat(c.code.astype(np.int64), c.start) / STEPS
+                cols = [r["ids"], np.frombuffer(r["held"], bool), c.sizes, known, np.full(len(c.sizes), n), base, score]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return run
 
 
-def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
 
-    Base: add-one unigrams with one place for unknown words. Score: log10 of the
-    bigram model (c(h, w) + WEIGHT * base(w)) / (c(h) + WEIGHT), each factor rounded
-    to 1 / STEPS; a text begins after its start, which occurs as often as the end.
-    A null text is the end alone; a null id counts as an empty one for the split;
-    repeated rows are documents of their own; an empty table gives an empty result.
-    If no document trains, counts are 0 and both scores follow from that. Words
-    are told apart by 64-bit hashes.
+    Base: add-one unigrams with one place for unknown words. Score: log10 of the model
+    of ``order`` words (2 at least), where each order is (c(h, w) + weight * lower order)
+    / (c(h) + weight) and the lowest is the base; a text begins after its start, which
+    occurs as often as the end, and a word nearer to it than the order's context takes
+    the order below. Each factor is rounded to 1 / STEPS at every order. A null text is
+    the end alone; a null id counts as an empty one for the split; repeated rows are
+    documents of their own; an empty table gives an empty result; ids may be of any
+    type; other columns are not read. If no document trains, counts are 0 and both
+    scores follow from that. Words are told apart by 64-bit hashes.
     """
-    few = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if order < 2:
+        raise ValueError(f"order must be 2 at least, not {order}")
+    few = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ids = few.schema["doc_id"].dataType.simpleString()
     shards = shard_count(few)
-    listed = f"array<{ids}>"
-    fields = [(c.split()[0], pa.binary()) for c in CHUNKS.split(", ")]
-    schema = pa.schema([(k, {"chunk": pa.string(), "shard": pa.int32(), "ids": pa.list_(_arrow(ids))}.get(k, t)) for k, t in fields])
-    chunks = materialize(few.mapInArrow(_chunks(shards, schema), CHUNKS.format(ids=listed)), "lm-chunks")
-    words = chunks.filter("shard >= 0").select("chunk", "shard", "local", "hashes", "counts")
+    id_type = to_arrow_type(few.schema["doc_id"].dataType)
+    schema = _arrow(CHUNKS, ids=pa.list_(id_type))
+    chunks = materialize(few.mapInArrow(_chunks(shards, schema), CHUNKS.format(ids=f"array<{ids}>")), "lm-chunks")
+    words = chunks.filter("shard >= 0").select("chunk", "shard", "hashes", "counts", "others")
     vocabulary = materialize(words.groupBy("shard").applyInArrow(_vocabulary(shards), VOCABULARY), "lm-vocabulary")
     v, n = (int(x or 0) for x in vocabulary.agg(F.sum("types"), F.sum("tokens")).head())
-    own = vocabulary.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("local", "global", "totals")).alias("words"))
-    whole = chunks.filter("shard < 0").select("chunk", "ids", "held", "sizes", "tokens").join(own, "chunk")
-    fields = [(c.split()[0], pa.binary()) for c in PAIRS.split(", ")]
-    schema = pa.schema([(k, {"chunk": pa.string(), "shard": pa.int32(), "docs": pa.int32(), "ids": pa.list_(_arrow(ids))}.get(k, t)) for k, t in fields])
-    pairs = whole.mapInArrow(_pairs(shards, n, v, schema), PAIRS.format(ids=listed))
-    scored = pairs.groupBy("shard").applyInArrow(_score(n, v, ids), f"chunk string, plain binary, ids {listed}, held binary, sums binary")
-    return scored.groupBy("chunk").applyInArrow(_gather(n, ids), f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own = vocabulary.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("shard", "name", "total", "other")).alias("words"))
+    whole = chunks.filter("shard < 0")
+    # ids stay with the chunks; the rest moves with the numbers of the words
+    listed = materialize(whole.select("chunk", "ids"), "lm-ids")
+    state = materialize(whole.select("chunk", "held", "sizes", "tokens", "order", "edge").join(own, "chunk").mapInArrow(_named, STATE), "lm-state")
+    discard(chunks, vocabulary)
+    before, asked = None, state
+    for k in range(2, order + 1):
+        sent = asked.mapInArrow(_send(k, shards, n, v), SENT)
+        level = materialize(sent.groupBy("shard").applyInArrow(_answer(k, k == order, shards), ANSWERS), f"lm-level-{k}")
+        if before is not None:
+            discard(before)
+        before = level
+        answers = level.groupBy("chunk").agg(F.collect_list(F.struct("shard", "kept", "alone", "own", "code", "n", "other", "number")).alias("answers"))
+        asked = state.join(answers, "chunk")
+    out = "doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return asked.join(listed, "chunk").mapInArrow(_total(order, n, v, _arrow(out, doc_id=id_type)), out.format(ids=ids))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,38 +420,51 @@ def test_elias_fano():
         x = rng.integers(0, top, 100).astype(np.uint64)
         assert (e.successor(x, np.zeros(100), np.full(100, n)) == np.searchsorted(v, x)).all()
     pairs = np.unique(rng.integers(0, 40, (300, 2)), axis=0)
-    t = eliasfano.BigramTrie(pairs[:, 0], pairs[:, 1], np.arange(len(pairs))).memory_mapped()
+    t = eliasfano.TrieLevel(pairs[:, 0], pairs[:, 1], np.arange(len(pairs))).memory_mapped()
     a, b = (m.ravel() for m in np.mgrid[0:42, 0:42])
     want = {tuple(p): i for i, p in enumerate(pairs.tolist())}
     assert t.find(a, b).tolist() == [want.get(p, -1) for p in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def test_lm(spark, docs, rows, empty):
+def brute_scores(rows, order):
+    """Rows as score_documents gives them, with counts of whole word sequences."""
     import math
 
-    got = lm.score_documents(docs).collect()
-    texts = [(d, [*(x.lower() for x in words(t)), None]) for d, t in rows]
-    c, p = collections.Counter(), collections.Counter()
+    texts = [(d, [0, *(x.lower() for x in words(t)), None]) for d, t in rows]  # 0 stands before a text
+    c = collections.Counter()
     for d, t in texts:
         if not lm.held_out(d):
-            c.update(t)
-            p.update(zip([0, *t[:-1]], t, strict=True))
-    n, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 1) / (n + v + 1)
-    expect = []
+            for k in range(1, order + 1):
+                c.update(tuple(t[i - k + 1 : i + 1]) for i in range(1, len(t)) if i - k + 1 >= 0)
+    c[(0,)] = c[(None,)]
+    n, v = sum(x for g, x in c.items() if len(g) == 1 and g != (0,)), sum(len(g) == 1 and g != (0,) and x > 0 for g, x in c.items())
+    out = []
     for d, t in texts:
-        base = sum(math.log10(uni(w)) for w in t)
-        score = sum(math.log10((p[h, w] + lm.WEIGHT * uni(w)) / ((c[None] if h == 0 else c[h]) + lm.WEIGHT)) for h, w in zip([0, *t[:-1]], t, strict=True))
-        expect.append((str(d), lm.held_out(d), len(t), sum(c[w] > 0 for w in t), n, base, score))
-    order = lambda r: (r[0], r[2], r[3], round(r[5], 6))
-    for a, b in zip(sorted(((str(r[0]), *r[1:]) for r in got), key=order), sorted(expect, key=order), strict=True):
+        base = score = 0.0
+        for i in range(1, len(t)):
+            p = (c[(t[i],)] + 1) / (n + v + 1)
+            base += math.log10(p)
+            for k in range(2, order + 1):
+                if i - k + 1 >= 0:
+                    w = lm.WEIGHTS.get(k, lm.WEIGHT)
+                    p = (c[tuple(t[i - k + 1 : i + 1])] + w * p) / (c[tuple(t[i - k + 1 : i])] + w)
+            score += math.log10(p)
+        out.append((str(d), lm.held_out(d), len(t) - 1, sum(c[(x,)] > 0 for x in t[1:]), n, base, score))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(spark, docs, rows, empty, order, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 20_000 if order == 3 else 3_000)  # several chunks share contexts
+    got = lm.score_documents(docs, order=order).collect()
+    by = lambda r: (r[0], r[2], r[3], round(r[5], 6))
+    for a, b in zip(sorted(((str(r[0]), *r[1:]) for r in got), key=by), sorted(brute_scores(rows, order), key=by), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6)
-        assert abs(a[6] - b[6]) <= a[2] * 0.5 / lm.STEPS + 1e-6
-    assert lm.score_documents(empty).count() == 0
-    # each factor is a probability: the words of one context and the unknown one sum to 1
-    h = "the".encode()
-    total = sum((p[h, w] + lm.WEIGHT * uni(w)) / (c[h] + lm.WEIGHT) for w in c) + lm.WEIGHT * (1 / (n + v + 1)) / (c[h] + lm.WEIGHT)
-    assert total == pytest.approx(1)
+        assert abs(a[6] - b[6]) <= a[2] * order * 0.5 / lm.STEPS + 1e-6
+    if order == 3:
+        assert lm.score_documents(empty).count() == 0
+        only = spark.createDataFrame([(next(i for i in range(100) if lm.held_out(i)), "a b a")], "doc_id bigint, text string").selectExpr("cast(doc_id as decimal(20,0)) doc_id", "text")
+        assert [(r.n_known, r.train_tokens, r.score) for r in lm.score_documents(only).collect()] == [(0, 0, 0.0)]
 
 
 def test_lm_sums_beyond_32_bits(spark):
@@ -463,7 +476,7 @@ def test_lm_sums_beyond_32_bits(spark):
     rows = [(held, "new " * many)] + [(i, " ".join(f"w{i}x{k}" for k in range(3000))) for i in rest]
     got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}[held]
     v, n = 40 * 3000 + 1, 40 * 3001
-    once = math.log10(1 / (n + v + 1))
+    once = math.log10(1 / (n + v + 1))  # a pair of unknown words gives no more
     assert got.train_tokens == n and -many * once * lm.STEPS > 2**32
     assert got.score == pytest.approx(many * once, rel=1e-3)
 
