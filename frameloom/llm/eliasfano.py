@@ -51,10 +51,29 @@ class EliasFano:
         low[over] |= self.low[k[over] + 1] << (np.uint64(64) - s[over])
         return (high << b) | (low & ((np.uint64(1) << b) - np.uint64(1)))
 
+    def below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have high bits below ``high``: select of the zeros."""
+        k = np.minimum(high.astype(np.int64), len(self.high.words) * 64 - self.n) - 1
+        zeros = np.arange(len(self.high.words)) * 64 - self.high.before
+        w = np.searchsorted(zeros, np.maximum(k, 0), "right") - 1
+        left = (np.maximum(k, 0) - zeros[w]).astype(np.uint64)
+        word, at = ~self.high.words[w], np.zeros(len(k), np.uint64)
+        for step in (32, 16, 8, 4, 2, 1):
+            s = np.uint64(step)
+            ones = np.bitwise_count((word >> at) & ((np.uint64(1) << s) - np.uint64(1))).astype(np.uint64)
+            skip = ones <= left
+            left = np.where(skip, left - ones, left)
+            at = np.where(skip, at + s, at)
+        return np.where(k < 0, 0, w * 64 + at.astype(np.int64) - k)
+
     def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """First place in [lo, hi) with at least ``value``, else hi."""
-        lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
+        """First place in [lo, hi) with at least ``value``, else hi: the values with the
+        same high bits are found by select, the place among them by halving."""
         value = value.astype(np.uint64)
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        high = value >> np.uint64(self.bits)
+        lo, hi = np.minimum(np.maximum(lo, self.below(high)), hi), np.maximum(np.minimum(hi, self.below(high + np.uint64(1))), lo)
+        lo, hi = lo.copy(), np.maximum(lo, hi)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1

@@ -27,7 +27,7 @@ from .storage import discard, materialize, shard_count
 from .words import Words, mix, slices
 
 #: Text of a chunk, and codes per unit of log10.
-CHUNK, STEPS = 12 << 20, 2048
+CHUNK, STEPS = 8 << 20, 2048
 #: Weight of the lower orders at each level: single words are seen often, pairs are not.
 WEIGHTS = {2: 200.0}
 WEIGHT = 8.0
@@ -161,7 +161,6 @@ class Level:
     summed over chunks, and the trie level of those that occur in training."""
 
     def __init__(self, context, word, train, other, context_n, lower, weight: float):
-        self.weight = weight
         order = np.lexsort((word, context))
         new = _changes(context[order], word[order])
         head = order[np.flatnonzero(new)]
@@ -171,11 +170,10 @@ class Level:
         self.other = np.bincount(self.node, weights=other, minlength=len(head)).astype(np.int64)
         seen = np.flatnonzero(self.n)
         at = head[seen]
-        self.trie = TrieLevel(context[at], word[at], codes(self.n[seen], context_n[at], lower[at], weight)).memory_mapped()
-
-    def ask(self, context, word, context_n, lower) -> np.ndarray:
-        code = self.trie.find(context, word)
-        return np.where(code >= 0, code, codes(0, context_n, lower, self.weight)).astype(np.uint16)
+        trie = TrieLevel(context[at], word[at], codes(self.n[seen], context_n[at], lower[at], weight)).memory_mapped()
+        # every distinct n-gram is asked once; one that training lacks has the lower order's share
+        code = trie.find(context[head], word[head])
+        self.code = np.where(code >= 0, code, codes(0, context_n[head], lower[head], weight)).astype(np.uint16)
 
 
 class Chunk:
@@ -186,7 +184,7 @@ class Chunk:
         self.t = _unpack(r["tokens"], np.uint32).astype(np.int64)
         self.sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
         self.start = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.t)) - np.repeat(self.start, self.sizes)
+        self.place = (np.arange(len(self.t)) - np.repeat(self.start, self.sizes)).astype(np.int32)
         self.train = ~np.repeat(np.frombuffer(r["held"], bool), self.sizes)
         self.name, self.total = _unpack(r["name"], np.int64), _unpack(r["total"], np.int64)
         self.order = 1
@@ -205,14 +203,14 @@ class Chunk:
     def step(self) -> None:
         """The distinct n-grams of the next order: context (an n-gram of this order) and word."""
         k = self.order = self.order + 1
-        before = np.append(-1, self.gram[:-1])
+        before = np.append(-1, self.gram[:-1]).astype(np.int64)
         if k == 2:
             before[self.start] = self.begin
         valid = np.flatnonzero(self.place >= k - 2)
         wide = len(self.name)
         values, first, inverse = np.unique(before[valid] * wide + self.t[valid], return_index=True, return_inverse=True)
         self.context, self.word = values // wide, values % wide
-        self.gram = np.full(len(self.t), -1)
+        self.gram = np.full(len(self.t), -1, np.int32)
         self.gram[valid] = inverse
         self.context_n = self.n[self.context]
         self.alone = ((self.n == self.own) & (self.other == self.own_other))[self.context]
@@ -221,6 +219,18 @@ class Chunk:
         self.own = np.bincount(inverse, weights=self.train[valid], minlength=len(values)).astype(np.int64)
         self.own_other = np.bincount(inverse, minlength=len(values)) - self.own
 
+    def dealt(self, shards: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shard, places of the n-grams to send, by shard; edges of the shards). Pairs go
+        in order of their numbers, which a chunk can tell again from its words."""
+        sent = np.flatnonzero(~self.alone)
+        # a context with a large share of all n-grams has parts, by its words
+        parts = 1 + self.context_n[sent] * 2 * shards // max(n, 1)
+        word = self.name[self.word[sent]]
+        key = self.context_number[sent].astype(np.uint64) * np.uint64(1 << 20) + (word % parts).astype(np.uint64)
+        shard = (mix(key) % np.uint64(shards)).astype(np.uint32)
+        order = np.lexsort((word, self.context_number[sent], shard)) if self.order == 2 else np.argsort(shard, kind="stable")
+        return shard, sent[order], np.searchsorted(shard[order], np.arange(shards + 1))
+
     def answered(self, code: np.ndarray, n: np.ndarray, other: np.ndarray, number: np.ndarray) -> None:
         self.n, self.other, self.number = n, other, number
         on = self.gram >= 0
@@ -239,24 +249,19 @@ def _send(k: int, shards: int, n: int, v: int):
         for b in batches:
             for r in (b.slice(x, 1).to_pylist()[0] for x in range(b.num_rows)):
                 c = Chunk(r, n, v)
-                _replay(c, r.get("answers"), k - 1)
+                _replay(c, r.get("answers"), k - 1, shards, n)
                 c.step()
-                alone, sent = np.flatnonzero(c.alone), np.flatnonzero(~c.alone)
+                alone = np.flatnonzero(c.alone)
                 name = c.name[c.word]
                 own = Level(c.context[alone], name[alone], c.own[alone], c.own_other[alone], c.context_n[alone], c.lower[alone], WEIGHTS.get(k, WEIGHT))
-                kept = own.ask(c.context[alone], name[alone], c.context_n[alone], c.lower[alone])
-                # a context with a large share of all n-grams has parts, by its words
-                parts = 1 + c.context_n[sent] * 2 * shards // max(n, 1)
-                key = c.context_number[sent].astype(np.uint64) * np.uint64(1 << 20) + (name[sent] % parts).astype(np.uint64)
-                shard = (mix(key) % np.uint64(shards)).astype(np.int32)
+                kept = own.code[own.node]
+                shard, sent, edge = c.dealt(shards, n)
                 short = c.code[c.gram < 0]  # tokens too near a text's start
-                out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "kept": _pack(np.append(short, kept)), "alone": np.packbits(c.alone).tobytes(), "own": _pack(shard.astype(np.uint32))}]
-                order = np.argsort(shard, kind="stable")
-                edge = np.searchsorted(shard[order], np.arange(shards + 1))
+                out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "kept": _pack(np.append(short, kept)), "alone": b"" if k == 2 else np.packbits(c.alone).tobytes(), "own": b"" if k == 2 else _pack(shard)}]
                 for s in np.flatnonzero(np.diff(edge)).tolist():
-                    x = sent[order[edge[s] : edge[s + 1]]]
+                    x = sent[edge[s] : edge[s + 1]]
                     new = np.append(True, c.context[x][1:] != c.context[x][:-1])
-                    out.append({"shard": s, "chunk": r["chunk"], "new": _pack(np.packbits(new)), "context": _pack(c.context_number[x][new]), "context_n": _pack(c.context_n[x][new]), "word": _pack(name[x]), "train": _pack(c.own[x].astype(np.uint32)), "other": _pack(c.own_other[x].astype(np.uint32)), "lower": _pack(c.lower[x])})
+                    out.append({"shard": s, "chunk": r["chunk"], "new": _pack(np.packbits(new)), "context": _pack(np.diff(c.context_number[x][new], prepend=0) if k == 2 else c.context_number[x][new]), "context_n": _pack(c.context_n[x][new]), "word": _pack(name[x]), "train": _pack(c.own[x].astype(np.uint32)), "other": _pack(c.own_other[x].astype(np.uint32)), "lower": _pack(c.lower[x])})
                 yield _rows(schema, out)
 
     return run
@@ -277,24 +282,25 @@ def _answer(k: int, last: bool, shards: int):
             if r["kept"] is None:
                 word = _unpack(r["word"], np.int64)
                 at = np.cumsum(np.unpackbits(_unpack(r["new"], np.uint8), count=len(word))) - 1
-                asked.append((r["chunk"], _unpack(r["context"], np.int64)[at], word, _unpack(r["train"], np.uint32), _unpack(r["other"], np.uint32), _unpack(r["context_n"], np.int64)[at], _unpack(r["lower"], np.uint16)))
+                context = _unpack(r["context"], np.int64)
+                asked.append((r["chunk"], (np.cumsum(context) if k == 2 else context)[at], word, _unpack(r["train"], np.uint32), _unpack(r["other"], np.uint32), _unpack(r["context_n"], np.int64)[at], _unpack(r["lower"], np.uint16)))
         del rows
         if asked:
             level = Level(*(np.concatenate([a[i] for a in asked]) for i in range(1, 7)), WEIGHTS.get(k, WEIGHT))
             at = 0
-            for chunk, context, word, _, _, context_n, lower in asked:
-                node = level.node[at : at + len(word)]
-                at += len(word)
-                row = {"chunk": chunk, "shard": shard, "code": _pack(level.ask(context, word, context_n, lower))}
+            for chunk, size in ((x[0], len(x[2])) for x in asked):
+                node = level.node[at : at + size]
+                at += size
+                row = {"chunk": chunk, "shard": shard, "code": _pack(level.code[node])}
                 if not last:
-                    row |= {"n": _pack(level.n[node]), "other": _pack(level.other[node]), "number": _pack(node * shards + shard + 1)}
+                    row |= {"n": _pack(level.n[node]), "other": _pack(level.other[node]), "number": _pack(np.diff(node, prepend=0))}
                 out.append(row)
         return pa.Table.from_pylist(out, schema=_arrow(ANSWERS))
 
     return run
 
 
-def _replay(c: Chunk, answers: list | None, k: int) -> None:
+def _replay(c: Chunk, answers: list | None, k: int, shards: int, total: int) -> None:
     """Bring a chunk from its words to order ``k`` with the shards' answers at k."""
     while c.order < k:
         # orders between need no answers but the last: its codes hold all below
@@ -304,11 +310,14 @@ def _replay(c: Chunk, answers: list | None, k: int) -> None:
     if k < 2:
         return
     top = next(a for a in answers if a["kept"] is not None)
-    alone = np.unpackbits(np.frombuffer(top["alone"], np.uint8), count=len(c.own)).view(bool)
-    sent = np.flatnonzero(~alone)
-    own = _unpack(top["own"], np.uint32)
-    order = np.argsort(own, kind="stable")
-    edge = np.searchsorted(own[order], np.arange(max((a["shard"] for a in answers), default=0) + 2))
+    if k == 2:
+        alone = c.alone
+        _, sent, edge = c.dealt(shards, total)
+    else:
+        alone = np.unpackbits(np.frombuffer(top["alone"], np.uint8), count=len(c.own)).view(bool)
+        own = _unpack(top["own"], np.uint32)
+        order = np.argsort(own, kind="stable")
+        sent, edge = np.flatnonzero(~alone)[order], np.searchsorted(own[order], np.arange(shards + 1))
     kept = _unpack(top["kept"], np.uint16)
     short = np.flatnonzero(c.gram < 0)
     c.code = c.code.copy()
@@ -317,14 +326,15 @@ def _replay(c: Chunk, answers: list | None, k: int) -> None:
     code[alone] = kept[len(short) :]
     for a in answers:
         if a["code"] is not None:
-            x = sent[order[edge[a["shard"]] : edge[a["shard"] + 1]]]
+            x = sent[edge[a["shard"]] : edge[a["shard"] + 1]]
             code[x] = _unpack(a["code"], np.uint16)
             if a["n"] is not None:
-                n[x], other[x], number[x] = (_unpack(a[y], np.int64) for y in ("n", "other", "number"))
+                n[x], other[x] = _unpack(a["n"], np.int64), _unpack(a["other"], np.int64)
+                number[x] = np.cumsum(_unpack(a["number"], np.int64)) * shards + a["shard"] + 1
     c.answered(code, n, other, number)
 
 
-def _total(order: int, n: int, v: int, schema: pa.Schema):
+def _total(order: int, shards: int, n: int, v: int, schema: pa.Schema):
     """Sums over each document of the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +344,7 @@ def _total(order: int, n: int, v: int, schema: pa.Schema):
                 seen = c.total[c.t]
                 base = np.add.reduceat(np.log10(seen + 1.0), c.start) - c.sizes * np.log10(n + v + 1.0)
                 known = np.add.reduceat((seen > 0).astype(np.int64), c.start)
-                _replay(c, r["answers"], order)
+                _replay(c, r["answers"], order, shards, n)
                 score = -np.add.reduceat(c.code.astype(np.int64), c.start) / STEPS
                 cols = [r["ids"], np.frombuffer(r["held"], bool), c.sizes, known, np.full(len(c.sizes), n), base, score]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
@@ -375,14 +385,17 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     before, asked = None, state
     for k in range(2, order + 1):
         sent = asked.mapInArrow(_send(k, shards, n, v), SENT)
+        if before is not None:  # what the join moved and the level before go before the next exchange
+            sent = materialize(sent, "lm-sent")
+            discard(before)
         level = materialize(sent.groupBy("shard").applyInArrow(_answer(k, k == order, shards), ANSWERS), f"lm-level-{k}")
         if before is not None:
-            discard(before)
+            discard(sent)
         before = level
         answers = level.groupBy("chunk").agg(F.collect_list(F.struct("shard", "kept", "alone", "own", "code", "n", "other", "number")).alias("answers"))
         asked = state.join(answers, "chunk")
     out = "doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return asked.join(listed, "chunk").mapInArrow(_total(order, n, v, _arrow(out, doc_id=id_type)), out.format(ids=ids))
+    return asked.join(listed, "chunk").mapInArrow(_total(order, shards, n, v, _arrow(out, doc_id=id_type)), out.format(ids=ids))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
