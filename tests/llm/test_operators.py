@@ -527,3 +527,60 @@ def test_pipeline_stages(spark, docs, rows):
             assert out.columns == d.columns
         assert out.count() > 0, name
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def plain_pipeline(rows):
+    """{(doc_id, piece, start, length, ids_crc32)} of the five stages, one text at a time."""
+    from tokenizers import Tokenizer
+
+    def bad(t):
+        w, ls = words(t), [x for x in t.split("\n") if words(x)]
+        g = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {j for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        count = lambda s: len(re.findall(f"[{s}]", t))
+        long_ = sum(len(x.decode()) for x in w)
+        return (len(w) < 50 or 100 * len(hit) > 50 * len(w) or 100 * count("#*$%&|<>") > 10 * len(w) or 100 * (len(ls) - len(set(ls))) > 50 * len(ls)
+                or not 2 * len(w) <= long_ <= 15 * len(w) or 100 * count("!") > 30 * len(w) or 100 * count("A-Z") > 50 * count("A-Za-z"))
+
+    now, seen = [], set()
+    for d, t in sorted((d, t) for d, t in rows if t is not None and not bad(t)):
+        out = []
+        for x in t.split("\n"):
+            if not words(x) or x not in seen:
+                out.append(x)
+                if words(x):
+                    seen.add(x)
+        now.append((d, "\n".join(out)))
+    stays = {i for i, _, c in brute_components(now, 5, 80) if i == c}
+    now = [(d, t) for d, t in now if str(d) in stays]
+    first = {}
+    for d, t in now:
+        w = words(t)
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    out, k = set(), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for d, t in now:
+        w = words(t)
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        parts = re.findall(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t.encode())
+        rest = t.encode()[sum(map(len, parts)) :]
+        ids = k.encode((b"".join(x for i, x in enumerate(parts) if i not in gone) + rest).decode(), add_special_tokens=False).ids + [2]
+        edges = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        out |= {(d, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(edges, edges[1:]))}  # noqa: B905
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(d, t) for d, t in corpus(seed=11, n=70)[:74] if d is not None] + [(900, "w " * 40), (901, "# | " * 60), (902, " ".join(f"LOUD{i}X" for i in range(80)))]
+    long_ = " ".join(f"v{i * 7919 % 5003}" for i in range(1500))
+    rows += [(903, long_), (904, long_[:4000] + " tail of another"), (905, "\n".join(f"line {i} of a text with its own words {i * i}" for i in range(30)))]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    spark.createDataFrame([(d, t, "en", "x", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    expect = plain_pipeline(rows)
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == expect and len(got) == len(expect)
+    filled = collections.Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024 and {903, 904} <= {r.doc_id for r in got} and not {900, 901, 902} & {r.doc_id for r in got}
