@@ -115,7 +115,11 @@ def _vocabulary(shards: int):
         rows = t.to_pylist()
         shard = rows[0]["shard"]
         h = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        _, name = np.unique(np.concatenate(h), return_inverse=True)
+        _, name, found = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        # words that many chunks have get low numbers, which take less room
+        rank = np.empty(len(found), np.int64)
+        rank[np.argsort(-found, kind="stable")] = np.arange(len(found))
+        name = rank[name]
         total, other = (np.bincount(name, weights=np.concatenate([_unpack(r[c], np.uint32) for r in rows])).astype(np.int64) for c in ("counts", "others"))
         # numbers from 1; 0 stands for the start of a text
         wide = name * shards + shard + 1
@@ -376,21 +380,21 @@ def score_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     words = chunks.filter("shard >= 0").select("chunk", "shard", "hashes", "counts", "others")
     vocabulary = materialize(words.groupBy("shard").applyInArrow(_vocabulary(shards), VOCABULARY), "lm-vocabulary")
     v, n = (int(x or 0) for x in vocabulary.agg(F.sum("types"), F.sum("tokens")).head())
-    own = vocabulary.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("shard", "name", "total", "other")).alias("words"))
+    own = vocabulary.filter("chunk IS NOT NULL").repartition(shards, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("shard", "name", "total", "other")).alias("words"))
     whole = chunks.filter("shard < 0")
     # ids stay with the chunks; the rest moves with the numbers of the words
     listed = materialize(whole.select("chunk", "ids"), "lm-ids")
-    state = materialize(whole.select("chunk", "held", "sizes", "tokens", "order", "edge").join(own, "chunk").mapInArrow(_named, STATE), "lm-state")
+    state = whole.select("chunk", "held", "sizes", "tokens", "order", "edge").repartition(shards, "chunk").join(own, "chunk").mapInArrow(_named, STATE)
+    # the chunks and the answers at each level lie in the same buckets, so they meet without an exchange
+    state = materialize(state, "lm-state", "chunk", shards)
     discard(chunks, vocabulary)
     before, asked = None, state
     for k in range(2, order + 1):
         sent = asked.mapInArrow(_send(k, shards, n, v), SENT)
-        if before is not None:  # what the join moved and the level before go before the next exchange
-            sent = materialize(sent, "lm-sent")
-            discard(before)
-        level = materialize(sent.groupBy("shard").applyInArrow(_answer(k, k == order, shards), ANSWERS), f"lm-level-{k}")
+        answered = sent.groupBy("shard").applyInArrow(_answer(k, k == order, shards), ANSWERS)
+        level = materialize(answered.repartition(shards, "chunk"), f"lm-level-{k}", "chunk", shards)
         if before is not None:
-            discard(sent)
+            discard(before)
         before = level
         answers = level.groupBy("chunk").agg(F.collect_list(F.struct("shard", "kept", "alone", "own", "code", "n", "other", "number")).alias("answers"))
         asked = state.join(answers, "chunk")

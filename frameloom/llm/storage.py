@@ -29,26 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None, buckets: int = 0) -> DataFrame:
     """Write ``df`` as a zstd Parquet table in the shared folder and read it back.
 
-    The table replaces the shuffle files that led to it, so these are removed."""
+    The table replaces the shuffle files that led to it, so these are removed. With
+    ``by`` it is bucketed by that column, under a name in the catalog: joins and groups
+    by it of tables with as many ``buckets`` need no exchange."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    name = f"{label}-{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
+    writer = df.write.option("compression", "zstd")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        if by is None:
+            writer.parquet(path)
+        else:
+            writer.format("parquet").option("path", path).bucketBy(buckets, by).saveAsTable(name)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.stored_at = path
+    table = spark.read.schema(df.schema).parquet(path) if by is None else spark.table(name)
+    table.stored_at, table.stored_as = path, by and name
     return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for t in tables:
+        if t.stored_as:
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.stored_as}")
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
