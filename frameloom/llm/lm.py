@@ -10,6 +10,7 @@ contexts of the next level. A context that no other chunk has is complete where
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from .storage import discard, materialize, shard_count
 from .words import Words, mix, slices
 
 #: Text of a chunk, and codes per unit of log10.
-CHUNK, STEPS = 8 << 20, 2048
+CHUNK, STEPS = 6 << 20, 2048
 #: Weight of the lower orders at each level: single words are seen often, pairs are not.
 WEIGHTS = {2: 200.0}
 WEIGHT = 8.0
@@ -89,6 +90,7 @@ def _chunks(shards: int, schema: pa.Schema):
             yield _rows(schema, [{"chunk": name, "shard": s, "hashes": h[o].tobytes(), "counts": _pack(count[o].astype(np.uint32)), "others": _pack(other[o].astype(np.uint32))} for s, o in own])
             number += 1
             ids, tokens, sizes, words, size = [], [], [], Numbers(), 0
+            _release()
 
         for b, texts in slices(batches, "text"):
             for i, t in zip(b.column(0).to_pylist(), texts, strict=True):
@@ -160,6 +162,14 @@ def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
 
 
+def _release() -> None:
+    """Give free memory back: a worker outlives its tasks, and the heap keeps what they freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Level:
     """Distinct n-grams (context, word) with counts in training and in other texts,
     summed over chunks, and the trie level of those that occur in training."""
@@ -185,7 +195,7 @@ class Chunk:
     ``gram`` by token (-1 near a text's start), their counts, numbers and codes."""
 
     def __init__(self, r: dict, n: int, v: int):
-        self.t = _unpack(r["tokens"], np.uint32).astype(np.int64)
+        self.t = _unpack(r["tokens"], np.uint32).view(np.int32)
         self.sizes = _unpack(r["sizes"], np.uint32).astype(np.int64)
         self.start = np.cumsum(self.sizes) - self.sizes
         self.place = (np.arange(len(self.t)) - np.repeat(self.start, self.sizes)).astype(np.int32)
@@ -212,16 +222,19 @@ class Chunk:
             before[self.start] = self.begin
         valid = np.flatnonzero(self.place >= k - 2)
         wide = len(self.name)
-        values, first, inverse = np.unique(before[valid] * wide + self.t[valid], return_index=True, return_inverse=True)
-        self.context, self.word = values // wide, values % wide
+        pair = before[valid] * wide + self.t[valid]
+        del before
+        values, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+        del pair
+        self.context, self.word = (values // wide).astype(np.int32), (values % wide).astype(np.int32)
         self.gram = np.full(len(self.t), -1, np.int32)
         self.gram[valid] = inverse
         self.context_n = self.n[self.context]
         self.alone = ((self.n == self.own) & (self.other == self.own_other))[self.context]
         self.context_number = self.number[self.context]
         self.lower = self.code[valid[first]]
-        self.own = np.bincount(inverse, weights=self.train[valid], minlength=len(values)).astype(np.int64)
-        self.own_other = np.bincount(inverse, minlength=len(values)) - self.own
+        self.own = np.bincount(inverse[self.train[valid]], minlength=len(values)).astype(np.int32)
+        self.own_other = np.bincount(inverse, minlength=len(values)).astype(np.int32) - self.own
 
     def dealt(self, shards: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, places of the n-grams to send, by shard; edges of the shards). Pairs go
@@ -254,11 +267,14 @@ def _send(k: int, shards: int, n: int, v: int):
             for r in (b.slice(x, 1).to_pylist()[0] for x in range(b.num_rows)):
                 c = Chunk(r, n, v)
                 _replay(c, r.get("answers"), k - 1, shards, n)
+                del r["answers" if k > 2 else "name"]
                 c.step()
+                c.n = c.number = c.train = c.place = None
                 alone = np.flatnonzero(c.alone)
                 name = c.name[c.word]
                 own = Level(c.context[alone], name[alone], c.own[alone], c.own_other[alone], c.context_n[alone], c.lower[alone], WEIGHTS.get(k, WEIGHT))
                 kept = own.code[own.node]
+                del own
                 shard, sent, edge = c.dealt(shards, n)
                 short = c.code[c.gram < 0]  # tokens too near a text's start
                 out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "kept": _pack(np.append(short, kept)), "alone": b"" if k == 2 else np.packbits(c.alone).tobytes(), "own": b"" if k == 2 else _pack(shard)}]
@@ -266,7 +282,10 @@ def _send(k: int, shards: int, n: int, v: int):
                     x = sent[edge[s] : edge[s + 1]]
                     new = np.append(True, c.context[x][1:] != c.context[x][:-1])
                     out.append({"shard": s, "chunk": r["chunk"], "new": _pack(np.packbits(new)), "context": _pack(np.diff(c.context_number[x][new], prepend=0) if k == 2 else c.context_number[x][new]), "context_n": _pack(c.context_n[x][new]), "word": _pack(name[x]), "train": _pack(c.own[x].astype(np.uint32)), "other": _pack(c.own_other[x].astype(np.uint32)), "lower": _pack(c.lower[x])})
+                del c, kept, sent, shard, short
                 yield _rows(schema, out)
+                del out
+                _release()
 
     return run
 
@@ -299,6 +318,8 @@ def _answer(k: int, last: bool, shards: int):
                 if not last:
                     row |= {"n": _pack(level.n[node]), "other": _pack(level.other[node]), "number": _pack(np.diff(node, prepend=0))}
                 out.append(row)
+            del level, asked
+        _release()
         return pa.Table.from_pylist(out, schema=_arrow(ANSWERS))
 
     return run
@@ -310,7 +331,7 @@ def _replay(c: Chunk, answers: list | None, k: int, shards: int, total: int) ->
         # orders between need no answers but the last: its codes hold all below
         c.step()
         if c.order < k:
-            c.n, c.other, c.number = c.own, c.own_other, np.zeros(len(c.own), np.int64)
+            c.n, c.other, c.number = c.own.astype(np.int64), c.own_other.astype(np.int64), np.zeros(len(c.own), np.int64)
     if k < 2:
         return
     top = next(a for a in answers if a["kept"] is not None)
@@ -326,7 +347,7 @@ def _replay(c: Chunk, answers: list | None, k: int, shards: int, total: int) ->
     short = np.flatnonzero(c.gram < 0)
     c.code = c.code.copy()
     c.code[short] = kept[: len(short)]
-    code, n, other, number = np.zeros(len(c.own), np.uint16), c.own.copy(), c.own_other.copy(), np.zeros(len(c.own), np.int64)
+    code, n, other, number = np.zeros(len(c.own), np.uint16), c.own.astype(np.int64), c.own_other.astype(np.int64), np.zeros(len(c.own), np.int64)
     code[alone] = kept[len(short) :]
     for a in answers:
         if a["code"] is not None:
@@ -351,6 +372,8 @@ def _total(order: int, shards: int, n: int, v: int, schema: pa.Schema):
                 _replay(c, r["answers"], order, shards, n)
                 score = -np.add.reduceat(c.code.astype(np.int64), c.start) / STEPS
                 cols = [r["ids"], np.frombuffer(r["held"], bool), c.sizes, known, np.full(len(c.sizes), n), base, score]
+                del c, seen
+                _release()
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
