@@ -11,6 +11,7 @@ contexts of the next level. A context that no other chunk has is complete where
 from __future__ import annotations
 
 import ctypes
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -162,6 +163,21 @@ def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Places in order of the keys, the first one above the others; ties in any order.
+    The keys are sorted as one number, as they are or by their ranks."""
+    for dense in (False, True):
+        if dense:
+            keys = tuple(np.unique(k, return_inverse=True)[1] for k in keys)
+        wide = [int(k.max(initial=0)) + 1 for k in keys]
+        if math.prod(wide) < 1 << 63:
+            one = keys[0].astype(np.int64)
+            for k, w in zip(keys[1:], wide[1:], strict=True):
+                one = one * w + k
+            return np.argsort(one)
+    return np.lexsort(keys[::-1])
+
+
 def _release() -> None:
     """Give free memory back: a worker outlives its tasks, and the heap keeps what they freed."""
     pa.default_memory_pool().release_unused()
@@ -170,12 +186,17 @@ def _release() -> None:
         trim(0)
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> np.ndarray:
+    """Places by shard, in their order within it (numbers of 16 bits sort by radix)."""
+    return np.argsort(shard.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
+
+
 class Level:
     """Distinct n-grams (context, word) with counts in training and in other texts,
     summed over chunks, and the trie level of those that occur in training."""
 
     def __init__(self, context, word, train, other, context_n, lower, weight: float):
-        order = np.lexsort((word, context))
+        order = _order(context, word)
         new = _changes(context[order], word[order])
         head = order[np.flatnonzero(new)]
         self.node = np.empty(len(order), np.int64)  # of each given n-gram
@@ -224,8 +245,14 @@ class Chunk:
         wide = len(self.name)
         pair = before[valid] * wide + self.t[valid]
         del before
-        values, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-        del pair
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+        # any token of an n-gram has its code
+        values, first = pair[new], order[new]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        del pair, order, new
         self.context, self.word = (values // wide).astype(np.int32), (values % wide).astype(np.int32)
         self.gram = np.full(len(self.t), -1, np.int32)
         self.gram[valid] = inverse
@@ -245,7 +272,7 @@ class Chunk:
         word = self.name[self.word[sent]]
         key = self.context_number[sent].astype(np.uint64) * np.uint64(1 << 20) + (word % parts).astype(np.uint64)
         shard = (mix(key) % np.uint64(shards)).astype(np.uint32)
-        order = np.lexsort((word, self.context_number[sent], shard)) if self.order == 2 else np.argsort(shard, kind="stable")
+        order = _order(shard, self.context_number[sent], word) if self.order == 2 else _by_shard(shard, shards)
         return shard, sent[order], np.searchsorted(shard[order], np.arange(shards + 1))
 
     def answered(self, code: np.ndarray, n: np.ndarray, other: np.ndarray, number: np.ndarray) -> None:
@@ -341,7 +368,7 @@ def _replay(c: Chunk, answers: list | None, k: int, shards: int, total: int) ->
     else:
         alone = np.unpackbits(np.frombuffer(top["alone"], np.uint8), count=len(c.own)).view(bool)
         own = _unpack(top["own"], np.uint32)
-        order = np.argsort(own, kind="stable")
+        order = _by_shard(own, shards)
         sent, edge = np.flatnonzero(~alone)[order], np.searchsorted(own[order], np.arange(shards + 1))
     kept = _unpack(top["kept"], np.uint16)
     short = np.flatnonzero(c.gram < 0)
