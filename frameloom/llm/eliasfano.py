@@ -10,6 +10,23 @@ import numpy as np
 from .fmindex import Bits
 
 
+EACH = np.uint64(0x0101010101010101)
+TOPS = np.uint64(0x8080808080808080)
+#: Place of the k-th set bit of a byte, at 256 * k + byte.
+IN_BYTE = np.array([([p for p in range(8) if b >> p & 1] + [8] * 8)[k] for k in range(8) for b in range(256)], np.uint8)
+
+
+def select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit (from 0) of each 64-bit word, which has it."""
+    u = np.uint64
+    n = word - ((word >> u(1)) & u(0x5555555555555555))
+    n = (n & u(0x3333333333333333)) + ((n >> u(2)) & u(0x3333333333333333))
+    n = ((n + (n >> u(4))) & u(0x0F0F0F0F0F0F0F0F)) * EACH  # set bits up to each byte
+    place = np.bitwise_count(((k * EACH | TOPS) - n) & TOPS).astype(u) << u(3)
+    rest = k - (((n << u(8)) >> place) & u(255))
+    return place + IN_BYTE[((rest << u(8)) | ((word >> place) & u(255))).astype(np.int64)]
+
+
 class EliasFano:
     """A non-decreasing sequence of whole numbers: low bits packed, high bits in unary."""
 
@@ -35,13 +52,7 @@ class EliasFano:
         i = i.astype(np.int64)
         w = np.searchsorted(self.high.before, i, "right") - 1
         left = (i - self.high.before[w]).astype(np.uint64)
-        word, at = self.high.words[w], np.zeros(len(i), np.uint64)
-        for step in (32, 16, 8, 4, 2, 1):  # the left-th set bit of the word
-            s = np.uint64(step)
-            ones = np.bitwise_count((word >> at) & ((np.uint64(1) << s) - np.uint64(1))).astype(np.uint64)
-            skip = ones <= left
-            left = np.where(skip, left - ones, left)
-            at = np.where(skip, at + s, at)
+        at = select(self.high.words[w], left)
         high = w.astype(np.uint64) * np.uint64(64) + at - i.astype(np.uint64)
         b = np.uint64(self.bits)
         place = i.astype(np.uint64) * b
@@ -57,13 +68,7 @@ class EliasFano:
         zeros = np.arange(len(self.high.words)) * 64 - self.high.before
         w = np.searchsorted(zeros, np.maximum(k, 0), "right") - 1
         left = (np.maximum(k, 0) - zeros[w]).astype(np.uint64)
-        word, at = ~self.high.words[w], np.zeros(len(k), np.uint64)
-        for step in (32, 16, 8, 4, 2, 1):
-            s = np.uint64(step)
-            ones = np.bitwise_count((word >> at) & ((np.uint64(1) << s) - np.uint64(1))).astype(np.uint64)
-            skip = ones <= left
-            left = np.where(skip, left - ones, left)
-            at = np.where(skip, at + s, at)
+        at = select(~self.high.words[w], left)
         return np.where(k < 0, 0, w * 64 + at.astype(np.int64) - k)
 
     def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -134,7 +139,11 @@ class TrieLevel:
         n = self.contexts.n
         if not n or not len(context):
             return out
-        heads, back = np.unique(context, return_inverse=True)
+        if (context[1:] >= context[:-1]).all():
+            rise = context[1:] != context[:-1]
+            heads, back = context[np.append(True, rise)], np.append(0, np.cumsum(rise))
+        else:
+            heads, back = np.unique(context, return_inverse=True)
         c = self.contexts.successor(heads, np.zeros(len(heads)), np.full(len(heads), n))
         known = c < n
         known[known] = self.contexts[c[known]] == heads[known].astype(np.uint64)

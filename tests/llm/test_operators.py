@@ -411,6 +411,25 @@ def test_topk_of_huge_components_in_many_blocks(spark, monkeypatch):
     assert any(r.vec_id == 1 for r in got)
 
 
+def test_select_in_words():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**64, 300, dtype=np.uint64) & rng.integers(0, 2**64, 300, dtype=np.uint64)
+    for x in [*words.tolist(), 2**64 - 1, 1, 1 << 63]:
+        places = [p for p in range(64) if x >> p & 1]
+        assert eliasfano.select(np.full(len(places), x, np.uint64), np.arange(len(places), dtype=np.uint64)).tolist() == places
+
+
+def test_order_by_several_keys():
+    rng = np.random.default_rng(2)
+    for top in (5, 1 << 20, 1 << 40, 1 << 62):
+        keys = [rng.integers(0, top, 200) for _ in range(3)]
+        got = lm._order(*keys)
+        assert sorted(got.tolist()) == list(range(200))
+        rows = list(zip(*(k[got].tolist() for k in keys)))
+        assert rows == sorted(rows)
+    assert not len(lm._order(*[np.zeros(0, np.int64)] * 3))
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for top, n in ((10, 50), (10**12, 1000), (5, 1)):
