@@ -6,13 +6,15 @@ sorted by batch; a stream's state is a few boxes.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from frameloom.functions import boxes as B
-from frameloom.operators.fold import fold_groups
+from frameloom.operators.fold import coded, fold_arrays, fold_groups, plain
 
 IOU, SIDE, LEAST = 0.7, 0.05, 10
 CROPS = "stream_id string, batch bigint, idx int, label string, x0 int, y0 int, x1 int, y1 int"
@@ -76,14 +78,46 @@ def batch_crops(detections: DataFrame, size: int, compat: bool = False) -> DataF
     """Crops of each batch of ``size`` frames (CROPS), by ``cluster``."""
     d = detections.withColumn("batch", F.floor(F.col("frame") / size))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        got = cluster([(r.frame, r.label, (r.x0, r.y0, r.x1, r.y1)) for r in p.itertuples()], compat)
-        s, n = p.stream_id.iloc[0], p.batch.iloc[0]
-        return pd.DataFrame([(s, n, k, label, *b) for k, (label, b) in enumerate(got)], columns=[c.split()[0] for c in CROPS.split(", ")])
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> dict[str, pa.Array]:
+        sides = [b.column(c).to_numpy(zero_copy_only=False) for c in B.SIDES]
+        label, labels = coded(b.column("label"))
+        rows = np.arange(b.num_rows)
+        if not compat:
+            rows = np.flatnonzero(~((sides[2] - sides[0] < LEAST) | (sides[3] - sides[1] < LEAST)))
+        group = (np.searchsorted(starts, rows, side="right") - 1).astype(np.int64)
+        own = np.bincount(group, minlength=len(starts))
+        # an object that is alone in its batch is a crop as it is
+        alone = rows[own[group] == 1] if not compat else rows[:0]
+        many = rows[own[group] > 1] if not compat else rows
+        at, number, codes, boxes = [], [], [], []
+        objects = list(zip(plain(b.column("frame").take(pa.array(many))), label[many].tolist(), zip(*[s[many].tolist() for s in sides], strict=True), strict=True))
+        size = own[own > (0 if compat else 1)]
+        ends = np.cumsum(size)
+        for lo, hi in zip((ends - size).tolist(), ends.tolist(), strict=True):
+            got = cluster(objects[lo:hi], compat)
+            at += [lo] * len(got)
+            number += range(len(got))
+            codes += [c for c, _ in got]
+            boxes += [x for _, x in got]
+        at = pa.array(np.append(alone, many[np.array(at, np.int64)]))
+        codes = np.append(label[alone], np.array(codes, np.int64))
+        boxes = np.array(boxes, sides[0].dtype).reshape(-1, 4)
+        out = {c: b.column(c).take(at) for c in ("stream_id", "batch")}
+        out |= {"idx": pa.array(np.append(np.zeros(len(alone), np.int64), np.array(number, np.int64))), "label": labels.take(pa.array(codes, mask=codes < 0))}
+        return out | {c: pa.array(np.append(s[alone], x), from_pandas=True) for c, s, x in zip(B.SIDES, sides, boxes.T, strict=True)}
 
     order = ["frame", "idx", "label", *B.SIDES]
-    rows = d.select(F.col("stream_id").cast("string").alias("stream_id"), "batch", *order)
-    return fold_groups(rows, ["stream_id", "batch"], order, CROPS, run)
+    rows = d.select("stream_id", "batch", *order)
+    return _named(fold_arrays(rows, ["stream_id", "batch"], order, _typed(CROPS, rows), run))
+
+
+def _typed(schema: str, rows: DataFrame) -> str:
+    """``schema`` with the stream's type as in ``rows``; ``_named`` makes it a string."""
+    return schema.replace("stream_id string", f"stream_id {dict(rows.dtypes)['stream_id']}")
+
+
+def _named(d: DataFrame) -> DataFrame:
+    return d.withColumn("stream_id", F.col("stream_id").cast("string"))
 
 
 def union_crops(detections: DataFrame, size: int) -> DataFrame:
