@@ -491,8 +491,9 @@ _DT = f"{DETECTIONS}, p AS (SELECT frame, idx, x0, y0, x1, y1, min(score) AS sco
 def _sides(spark, d):
     det = detections(spark, d)
     key = lambda n: F.row_number().over(W.partitionBy("frame").orderBy("idx", *B.SIDES)).alias(n)
-    a = det.filter("stream_id % 2 = 0").groupBy("frame", "idx", *B.SIDES).agg(F.min("score").alias("score"))
-    b = det.filter("stream_id % 2 = 1").groupBy("frame", "idx", *B.SIDES).agg((F.min("score") > 0.08).alias("difficult"))
+    # what follows goes by frame: one exchange of each side
+    a = det.filter("stream_id % 2 = 0").repartition("frame").groupBy("frame", "idx", *B.SIDES).agg(F.min("score").alias("score"))
+    b = det.filter("stream_id % 2 = 1").repartition("frame").groupBy("frame", "idx", *B.SIDES).agg((F.min("score") > 0.08).alias("difficult"))
     return a.select("frame", key("det_id"), *B.SIDES, "score"), b.select("frame", key("gt_id"), *B.SIDES, "difficult")
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from frameloom.functions import boxes as B
-from frameloom.operators.fold import fold_groups
+from frameloom.operators.fold import coded, fold_arrays, fold_groups
 
 
 def boxed() -> Column:
@@ -176,17 +178,24 @@ def bipartite_match(sim: DataFrame, by: list[str]) -> DataFrame:
     cols = [*by, "col", "row"]
     kinds = dict(sim.dtypes)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows, pairs = set(), {}
-        for row, col, s in zip(p["row"].tolist(), p["col"].tolist(), p["similarity"].tolist(), strict=True):
-            if row not in rows and col not in pairs and s > 0:
-                rows.add(row)
-                pairs[col] = row
-        out = p[[*by, "col"]].drop_duplicates()
-        return out.assign(row=[pairs.get(c, -1) for c in out["col"]])
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> dict[str, pa.Array]:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, b.num_rows)))
+        (col, cols_of), (row, rows_of) = coded(b.column("col")), coded(b.column("row"))
+        # each group's columns and rows get numbers of their own
+        _, head, col = np.unique(group * (len(cols_of) + 1) + col, return_index=True, return_inverse=True)
+        row = np.unique(group * (len(rows_of) + 1) + row, return_inverse=True)[1]
+        at, taken = [-1] * len(head), bytearray(len(row))
+        some = np.flatnonzero(pc.fill_null(pc.greater(b.column("similarity"), 0), False).to_numpy(zero_copy_only=False) & ~np.isnan(b.column("similarity").cast(pa.float64()).to_numpy(zero_copy_only=False)))
+        for i, r, c in zip(some.tolist(), row[some].tolist(), col[some].tolist(), strict=True):
+            if at[c] < 0 and not taken[r]:
+                at[c], taken[r] = i, 1
+        at = np.array(at, np.int64)
+        match = b.column("row").take(pa.array(np.maximum(at, 0)))
+        out = {c: b.column(c).take(pa.array(head)) for c in [*by, "col"]}
+        return out | {"row": pc.if_else(pa.array(at >= 0), match, pa.scalar(-1, match.type))}
 
     order = [F.col("similarity").desc(), "row", "col"]
-    return fold_groups(sim, by, order, ", ".join(f"{c} {kinds[c]}" for c in cols), run)
+    return fold_arrays(sim, by, order, ", ".join(f"`{c}` {kinds[c]}" for c in cols), run)
 
 
 def true_positives(detections: DataFrame, truth: DataFrame, by: list[str], threshold: float, key: str = "det_id") -> DataFrame:

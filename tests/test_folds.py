@@ -44,3 +44,29 @@ def test_batch_crops_of_many_batches(boxes):
     expect = sorted((*g, k, label, *box) for g, own in plain_crops(boxes[1]).items() for k, (label, box) in enumerate(own))
     assert timed(crops.batch_crops(boxes[0], 10)) == expect
     assert len({r[:2] for r in expect}) > GROUPS * 0.9
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
+    d = spark.range(GROUPS * 6).select((F.col("id") % GROUPS).alias("frame"), F.expr(f"id div {GROUPS} % 2").alias("col"), F.expr(f"id div {GROUPS} div 2").alias("row"), (F.abs(F.hash("id")) % 5 / 4.0).alias("similarity"))
+    return d.cache(), sorted(tuple(r) for r in d.collect())
+
+
+def test_bipartite_match_of_many_frames(pairs):
+    got, took = {}, set()
+    for f, c, r, s in sorted(pairs[1], key=lambda x: (x[0], -x[3], x[2], x[1])):
+        got.setdefault((f, c), -1)
+        if s > 0 and got[f, c] < 0 and (f, r) not in took:
+            got[f, c] = r
+            took.add((f, r))
+    assert timed(detections.bipartite_match(pairs[0], ["frame"])) == sorted((*k, r) for k, r in got.items())
+
+
+def test_bipartite_match_of_one_large_frame(spark):
+    d = spark.range(120 * 130).select(F.lit(None).cast("string").alias("frame"), F.expr("id div 130").alias("col"), (F.col("id") % 130).alias("row"), F.abs(F.hash("id")).cast("double").alias("similarity"))
+    got, took = {}, set()
+    for _, c, r, _ in sorted(d.collect(), key=lambda x: (-x[3], x[2], x[1])):
+        if c not in got and r not in took:
+            got[c] = r
+            took.add(r)
+    assert {r["col"]: r["row"] for r in detections.bipartite_match(d, ["frame"]).collect()} == got and len(got) == 120
