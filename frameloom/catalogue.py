@@ -596,8 +596,8 @@ def batch_crops(spark, d):
 
 @query()
 def merge_runs(spark, d):
-    det = detections(spark, d)
-    c = C.union_crops(det, 500)
+    det = detections(spark, d).select("stream_id", "frame", *B.SIDES)
+    c = C.union_crops(det.repartition("stream_id"), 500)
     return C.merge_runs(c, c, "union")
 
 

@@ -7,14 +7,13 @@ sorted by batch; a stream's state is a few boxes.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from frameloom.functions import boxes as B
-from frameloom.operators.fold import coded, fold_arrays, fold_groups, plain
+from frameloom.operators.fold import coded, fold_arrays, plain
 
 IOU, SIDE, LEAST = 0.7, 0.05, 10
 CROPS = "stream_id string, batch bigint, idx int, label string, x0 int, y0 int, x1 int, y1 int"
@@ -140,26 +139,44 @@ def merge_runs(crops: DataFrame, batches: DataFrame, join: str = "crops") -> Dat
     'crops' pairs crops off (``similar``), 'union' does so for the single union
     crop, 'null' never merges. A run's state grows to the union boxes.
     """
-    c = batches.select("stream_id", "batch").distinct().join(crops, ["stream_id", "batch"], "left")
     if join == "null":
         return batches.select("stream_id", "batch", F.col("batch").alias("run")).distinct()
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        out, state, number = [], None, -1
-        for batch, rows in p.groupby("batch", sort=False):
-            own = [(r.label, (r.x0, r.y0, r.x1, r.y1)) for r in rows.itertuples() if not pd.isna(r.x0)]
-            merged = None if state is None else similar(state, own)
-            if merged is None:
-                number, state = number + 1, own
-            else:
-                state = merged
-            out.append((p.stream_id.iloc[0], batch, number))
-        return pd.DataFrame(out, columns=["stream_id", "batch", "run"])
-
-    if "idx" not in c.columns:
-        c = c.withColumn("idx", F.lit(0))
-    rows = c.select(F.col("stream_id").cast("string").alias("stream_id"), "batch", "idx", "label", *B.SIDES)
-    return fold_groups(rows, ["stream_id"], ["batch", "idx"], "stream_id string, batch bigint, run bigint", run)
+    def run(b: pa.RecordBatch, starts: np.ndarray) -> dict[str, pa.Array]:
+        batch = b.column("batch").to_numpy(zero_copy_only=False)
+        new = np.append(True, batch[1:] != batch[:-1])
+        new[starts] = True
+        at = np.flatnonzero(new)
+        label = coded(b.column("label"))[0].tolist()
+        crop = list(zip(label, zip(*[plain(b.column(s)) for s in B.SIDES], strict=True), strict=True))
+        given = b.column("x0").is_valid().to_numpy(zero_copy_only=False)
+        bounds = np.append(0, np.cumsum(given))[np.append(at, b.num_rows)].tolist()
+        crop = [c for c, g in zip(crop, given.tolist(), strict=True) if g]
+        asked = np.logical_or.reduceat(b.column("_asked").to_numpy(zero_copy_only=False), at)
+        stream = np.searchsorted(starts, at, side="right").tolist()
+        runs, state, number, current = [], None, -1, -1
+        for known, s, lo, hi in zip(asked.tolist(), stream, bounds, bounds[1:]):  # noqa: B905
+            if s != current:
+                current, state, number = s, None, -1
+            if known:
+                own = crop[lo:hi]
+                merged = None if state is None else similar(state, own)
+                if merged is None:
+                    number, state = number + 1, own
+                else:
+                    state = merged
+            runs.append(number)
+        kept = pa.array(at[asked])
+        return {c: b.column(c).take(kept) for c in ("stream_id", "batch")} | {"run": pa.array(np.array(runs, np.int64)[asked])}
+
+    c = crops if "idx" in crops.columns else crops.withColumn("idx", F.lit(0))
+    c = c.select("stream_id", "batch", "idx", "label", *B.SIDES)
+    if batches is crops:
+        rows = c.withColumn("_asked", F.lit(True))
+    else:
+        rows = _named(c).withColumn("_asked", F.lit(False)).unionByName(_named(batches.select("stream_id", "batch")).withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    rows = rows.filter("batch IS NOT NULL")
+    return _named(fold_arrays(rows, ["stream_id"], ["batch", "idx"], _typed("stream_id string, batch bigint, run bigint", rows), run))
 
 
 def run_boxes(crops: DataFrame, runs: DataFrame) -> DataFrame:

@@ -70,3 +70,39 @@ def test_bipartite_match_of_one_large_frame(spark):
             got[c] = r
             took.add(r)
     assert {r["col"]: r["row"] for r in detections.bipartite_match(d, ["frame"]).collect()} == got and len(got) == 120
+
+
+def plain_runs(by_batch):
+    out, state, number, last = [], None, -1, None
+    for s, b in sorted(by_batch):
+        if s != last:
+            last, state, number = s, None, -1
+        own = by_batch[s, b]
+        merged = None if state is None else similar(state, own)
+        number, state = (number + 1, own) if merged is None else (number, merged)
+        out.append((s, b, number))
+    return sorted(out)
+
+
+def test_merge_runs_of_many_batches(boxes):
+    c = crops.union_crops(boxes[0], 10)
+    groups = {(r.stream_id, r.batch): [(r.label, (r.x0, r.y0, r.x1, r.y1))] for r in c.collect()}
+    expect = sorted((str(s), b, n) for s, b, n in plain_runs(groups))
+    assert timed(crops.merge_runs(c, c, "union")) == expect
+    assert 1 < len(expect) / sum(n == 0 for _, _, n in expect) < 4
+
+
+def test_merge_runs_with_batches_of_their_own(boxes, spark):
+    """Batches without crops come in between, crops of other batches don't count."""
+    few = boxes[0].filter("stream_id < 40")
+    c = crops.batch_crops(few, 10)
+    batches = spark.range(40 * 6).select(F.expr("cast(id div 6 as string)").alias("stream_id"), (F.col("id") % 6).alias("batch")).filter("batch <> 1")
+    known = plain_crops([r for r in boxes[1] if r[0] < 40])
+    groups = {(r.stream_id, r.batch): known.get((r.stream_id, r.batch), []) for r in batches.collect()}
+    assert sorted(tuple(r) for r in crops.merge_runs(c, batches.union(batches)).collect()) == plain_runs(groups)
+
+
+def test_merge_runs_of_a_null_stream(spark):
+    """The crops of a stream without a name are compared too."""
+    c = spark.createDataFrame([(None, 0, "a", 0, 0, 50, 50), (None, 1, "a", 200, 0, 250, 50)], "stream_id string, batch bigint, label string, x0 int, y0 int, x1 int, y1 int")
+    assert [r.run for r in crops.merge_runs(c, c).orderBy("batch").collect()] == [0, 1]
