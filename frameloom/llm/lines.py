@@ -108,7 +108,8 @@ def _dedup(documents: DataFrame, run: int, gram: int, doc_id: str, text: str) ->
     read = base.select("doc_id", "key", F.col("row").getField(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     gone = repeated_lines(line_hashes(read).dropDuplicates(["doc_id", "key"]), run, gram)
     gone = gone.groupBy("doc_id", "key").agg(F.collect_set(F.struct("place", "size")).alias("gone"))
-    joined = base.join(materialize(gone, "line-gone"), ["doc_id", "key"], "left")
+    # texts move once at every size: few enough lines to broadcast would make a plan of small tables only
+    joined = base.join(materialize(gone, "line-gone").hint("merge"), ["doc_id", "key"], "left")
     # removed worded lines by number, then the text's lines with those numbers out
     numbers = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["place"], g["place"] + g["size"] - 1))))
     joined = joined.select("row", F.col("row").getField(text).alias("text"), F.sort_array(numbers).alias("out"))
