@@ -30,6 +30,8 @@ from .words import Words, mix, slices
 
 #: Text of a chunk, and codes per unit of log10.
 CHUNK, STEPS = 6 << 20, 2048
+#: N-grams of a shard whose part of the level is in memory at once.
+PART = 1 << 18
 #: Weight of the lower orders at each level: single words are seen often, pairs are not.
 WEIGHTS = {2: 200.0}
 WEIGHT = 8.0
@@ -299,9 +301,12 @@ def _send(k: int, shards: int, n: int, v: int):
                 c.n = c.number = c.train = c.place = None
                 alone = np.flatnonzero(c.alone)
                 name = c.name[c.word]
-                own = Level(c.context[alone], name[alone], c.own[alone], c.own_other[alone], c.context_n[alone], c.lower[alone], WEIGHTS.get(k, WEIGHT))
-                kept = own.code[own.node]
-                del own
+                kept = np.empty(len(alone), np.uint16)
+                for x in _parts(c.context[alone], PART):
+                    at = alone[x]
+                    own = Level(c.context[at], name[at], c.own[at], c.own_other[at], c.context_n[at], c.lower[at], WEIGHTS.get(k, WEIGHT))
+                    kept[x] = own.code[own.node]
+                    del own
                 shard, sent, edge = c.dealt(shards, n)
                 short = c.code[c.gram < 0]  # tokens too near a text's start
                 out = [{"shard": zlib.crc32(r["chunk"].encode()) % shards, "chunk": r["chunk"], "kept": _pack(np.append(short, kept)), "alone": b"" if k == 2 else np.packbits(c.alone).tobytes(), "own": b"" if k == 2 else _pack(shard)}]
@@ -320,32 +325,63 @@ def _send(k: int, shards: int, n: int, v: int):
 ANSWERS = "chunk string, shard int, kept binary, alone binary, own binary, code binary, n binary, other binary, number binary"
 
 
-def _answer(k: int, last: bool, shards: int):
-    """Of one shard: its part of the level, asked for each chunk's k-grams."""
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits, if all of them fit."""
+    return a.astype(np.uint32) if int(a.max(initial=0)) < 1 << 32 and int(a.min(initial=0)) >= 0 else a
+
+
+def _parts(context: np.ndarray, part: int) -> Iterator[np.ndarray]:
+    """Places of the n-grams by rising ranges of contexts, about ``part`` in each; a context is in one range."""
+    some = np.sort(context[:: max(1, part // 64)])
+    bounds = np.unique(some[64::64]) if len(context) > part else some[:0]
+    where = np.searchsorted(bounds, context, side="right").astype(np.uint32)
+    for k in range(len(bounds) + 1):
+        yield np.flatnonzero(where == k)
+
+
+def _answer(k: int, last: bool, shards: int, part: int = PART):
+    """Of one shard: its part of the level, asked for each chunk's k-grams. Only the
+    columns are in memory whole; the level is built and asked by ranges of contexts."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         shard = rows[0]["shard"]
         out = [{"chunk": r["chunk"], "shard": -1, "kept": r["kept"], "alone": r["alone"], "own": r["own"]} for r in rows if r["kept"] is not None]
-        asked = []
-        for r in rows:
-            if r["kept"] is None:
-                word = _unpack(r["word"], np.int64)
-                at = np.cumsum(np.unpackbits(_unpack(r["new"], np.uint8), count=len(word))) - 1
-                context = _unpack(r["context"], np.int64)
-                asked.append((r["chunk"], (np.cumsum(context) if k == 2 else context)[at], word, _unpack(r["train"], np.uint32), _unpack(r["other"], np.uint32), _unpack(r["context_n"], np.int64)[at], _unpack(r["lower"], np.uint16)))
-        del rows
-        if asked:
-            level = Level(*(np.concatenate([a[i] for a in asked]) for i in range(1, 7)), WEIGHTS.get(k, WEIGHT))
-            at = 0
-            for chunk, size in ((x[0], len(x[2])) for x in asked):
-                node = level.node[at : at + size]
-                at += size
-                row = {"chunk": chunk, "shard": shard, "code": _pack(level.code[node])}
+        rows = [r for r in rows if r["kept"] is None]
+        if rows:
+            word = [_narrow(_unpack(r.pop("word"), np.int64)) for r in rows]
+            size = [len(w) for w in word]
+            word = np.concatenate(word)
+            at = [np.cumsum(np.unpackbits(_unpack(r.pop("new"), np.uint8), count=n), dtype=np.uint32) - np.uint32(1) for r, n in zip(rows, size, strict=True)]
+            context = [_unpack(r.pop("context"), np.int64) for r in rows]
+            context = np.concatenate([_narrow(np.cumsum(c) if k == 2 else c)[a] for c, a in zip(context, at, strict=True)])
+            context_n = np.concatenate([_narrow(_unpack(r.pop("context_n"), np.int64))[a] for r, a in zip(rows, at, strict=True)])
+            del at
+            train, other = (np.concatenate([_unpack(r.pop(c), np.uint32) for r in rows]) for c in ("train", "other"))
+            lower = np.concatenate([_unpack(r.pop("lower"), np.uint16) for r in rows])
+            code = np.empty(len(word), np.uint16)
+            if not last:
+                most = max(int(x.sum(dtype=np.int64)) for x in (train, other))
+                sums, number, nodes = np.empty((2, len(word)), np.uint32 if most < 1 << 32 else np.int64), np.empty(len(word), np.uint32), 0
+            for x in _parts(context, part):
+                level = Level(context[x], word[x], train[x], other[x], context_n[x], lower[x], WEIGHTS.get(k, WEIGHT))
+                code[x] = level.code[level.node]
+                if not last:
+                    sums[0, x], sums[1, x], number[x] = level.n[level.node], level.other[level.node], level.node + nodes
+                    nodes += len(level.code)
+                del level
+            del word, context, context_n, train, other, lower
+            ends = np.cumsum(size)
+            for r, n, end in zip(rows, size, ends.tolist(), strict=True):
+                own = slice(end - n, end)
+                row = {"chunk": r["chunk"], "shard": shard, "code": _pack(code[own])}
                 if not last:
-                    row |= {"n": _pack(level.n[node]), "other": _pack(level.other[node]), "number": _pack(np.diff(node, prepend=0))}
+                    row |= {"n": _pack(sums[0, own].astype(np.int64)), "other": _pack(sums[1, own].astype(np.int64)), "number": _pack(np.diff(number[own].astype(np.int64), prepend=0))}
                 out.append(row)
-            del level, asked
+            if not last:
+                del sums, number
+            del code
+        del rows
         _release()
         return pa.Table.from_pylist(out, schema=_arrow(ANSWERS))
 
